@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from pyspark.sql import functions as F
+
+from . import line_chunks, mixing, packing, pseudonyms
 from .support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,9 +20,28 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_pseudonyms")
+
+
+@query
+def op3_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLES["op4_source_mixing"] = mixing.ORACLE
+
+
+@query
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_chunks.deduplicate(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
+ORACLES["op8_line_chunks"] = line_chunks.ORACLE
