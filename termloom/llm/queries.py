@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import line_chunks, mixing, packing, pseudonyms
+from . import jpeg, line_chunks, mixing, packing, pseudonyms, toxicity
 from .support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,14 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_line_chunks"] = line_chunks.ORACLE
+
+
+@query
+def op6_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.classify(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("row.doc_id", "held_out", "score", "predicted")
