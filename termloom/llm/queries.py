@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import jpeg, line_chunks, mixing, packing, pseudonyms, toxicity
+from . import bytecnn, jpeg, line_chunks, mixing, packing, pseudonyms, toxicity
 from .support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def op6_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.classify(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("row.doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op9_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bytecnn.classify(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("row.doc_id", "held_out", "score", "predicted")
