@@ -6,6 +6,8 @@ value's format, equal values get equal pseudonyms in all documents, and the key'
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,27 +34,34 @@ def _digit(hexes: Column, i: Column) -> Column:
     return F.conv(F.substr(hexes, i * 4 + 1, F.lit(4)), 16, 10).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def feistel(values: Column, radices: Column, key: str, tweak: Column, rounds: int = ROUNDS) -> Column:
     """array<bigint> of the same length, values[i] staying below radices[i]. Halves shift each other, place by place,
-    by a keyed hash modulo the radix: a bijection for any radices. Up to 16 places a half are one hash; up to 64 a list."""
-    n = F.size(values)
-    half = F.ceil(n / 2).cast("int")
-    left_r, right_r = F.slice(radices, 1, half), F.slice(radices, half + 1, n)
+    by a keyed hash modulo the radix: a bijection for any radices. Up to 64 values."""
+
+    def shifted(side: Column, other: Column, sizes: Column, step: Column, tweak: Column) -> Column:
+        hexes = F.sha2(F.concat_ws("|", F.lit(key), tweak, step.cast("string"), F.concat_ws(",", other.cast("array<string>"))), 256)
+        whole = F.when(F.size(side) > 16, F.concat(hexes, F.sha2(F.concat(F.lit(f"{key}+"), hexes), 256))).otherwise(hexes)
+        return let(whole, lambda h: F.transform(side, lambda x, i: (x + _digit(h, i)) % F.get(sizes, i)))
 
-    def shifted(side: Column, other: Column, sizes: Column, step: Column) -> Column:
-        text = F.concat_ws(",", F.transform(other, lambda x: x.cast("string")))
-        hexes = F.sha2(F.concat_ws("|", F.lit(key), tweak, step.cast("string"), text), 256)
-        more = F.when(F.size(side) > 16, F.sha2(F.concat(F.lit(f"{key}+"), hexes), 256)).otherwise(F.lit(""))
-        return F.transform(side, lambda x, i: (x + _digit(F.concat(hexes, more), i)) % F.get(sizes, i))
+    def run(x: Column) -> Column:
+        def turn(state: Column, step: Column) -> Column:
+            left = F.when(step % 2 == 0, shifted(state.l, state.r, x.rl, step, x.t)).otherwise(state.l)
+            right = F.when(step % 2 == 1, shifted(state.r, state.l, x.rr, step, x.t)).otherwise(state.r)
+            return F.struct(left.alias("l"), right.alias("r"))
 
-    def turn(state: Column, step: Column) -> Column:
-        left = F.when(step % 2 == 0, shifted(state.l, state.r, left_r, step)).otherwise(state.l)
-        right = F.when(step % 2 == 1, shifted(state.r, state.l, right_r, step)).otherwise(state.r)
-        return F.struct(left.alias("l"), right.alias("r"))
+        end = F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), F.struct(x.l.alias("l"), x.r.alias("r")), turn)
+        return let(end, lambda e: F.concat(e.l, e.r))
 
-    start = F.struct(F.slice(values, 1, half).alias("l"), F.slice(values, half + 1, n).alias("r"))
-    end = F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, turn)
-    return F.concat(end.l, end.r)
+    def halves(x: Column) -> Column:
+        n, half = F.size(x.v), F.ceil(F.size(x.v) / 2).cast("int")
+        return F.struct(F.slice(x.v, 1, half).alias("l"), F.slice(x.v, half + 1, n).alias("r"), F.slice(x.m, 1, half).alias("rl"), F.slice(x.m, half + 1, n).alias("rr"), x.t.alias("t"))
+
+    return let(F.struct(values.alias("v"), radices.alias("m"), tweak.alias("t")), lambda x: let(halves(x), run))
 
 
 def _chars(x: Column) -> Column:
@@ -61,7 +70,8 @@ def _chars(x: Column) -> Column:
 
 def _refill(chars: Column, places: Column, values: Column) -> Column:
     """chars with those at the given indices (ascending) replaced by values, in order."""
-    return F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains(places, i), F.get(values, (F.array_position(places, i) - 1).cast("int"))).otherwise(c)), "")
+    put = lambda z: F.array_join(F.transform(z.c, lambda c, i: F.coalesce(F.get(z.v, (F.array_position(z.p, i) - 1).cast("int")), c)), "")
+    return let(F.struct(chars.alias("c"), places.alias("p"), values.alias("v")), put)
 
 
 def _ords(chars: Column, places: Column) -> Column:
@@ -72,18 +82,18 @@ def _places(chars: Column, pattern: str) -> Column:
     return F.filter(F.transform(chars, lambda c, i: F.when(c.rlike(pattern), i).otherwise(F.lit(-1))), lambda i: i >= 0)
 
 
-def _swap(x: Column, pattern: str, base: Column | None, key: str, kind: str, first: int = 0) -> Column:
-    """Letters and digits of x that match pattern, permuted within a-z, A-Z and 0-9. base: 10 for digits, else by character."""
-    chars = _chars(x)
-    places = _places(chars, pattern)
-    if first:
-        places = F.slice(places, 1, F.size(places) - first)
-    ords = _ords(chars, places)
-    floor = lambda o: F.when(o >= 97, 97).when(o >= 65, 65).otherwise(48)
-    radices = F.transform(ords, lambda o: F.when(o >= 65, 26).otherwise(10).cast("long"))
+def _swap(x: Column, key: str, kind: str) -> Column:
+    """x with its letters and digits permuted within a-z, A-Z and 0-9."""
+
+    def by_place(z: Column) -> Column:
+        floor = lambda o: F.when(o >= 97, 97).when(o >= 65, 65).otherwise(48)
+        radices = F.transform(z.o, lambda o: F.when(o >= 65, 26).otherwise(10).cast("long"))
+        new = feistel(F.transform(z.o, lambda o: o - floor(o)), radices, key, F.concat(F.lit(kind), z.s))
+        return _refill(z.c, z.p, F.zip_with(z.o, new, lambda o, v: F.char(floor(o) + v)))
+
     shape = F.regexp_replace(F.regexp_replace(x, "[0-9]", "9"), "[A-Za-z]", "a")
-    new = feistel(F.transform(ords, lambda o: o - floor(o)), radices, key, F.concat(F.lit(kind), shape))
-    return _refill(chars, places, F.zip_with(ords, new, lambda o, v: F.char(floor(o) + v)))
+    placed = lambda z: F.struct(z.c.alias("c"), z.p.alias("p"), z.s.alias("s"), _ords(z.c, z.p).alias("o"))
+    return let(F.struct(_chars(x).alias("c"), _places(_chars(x), "[A-Za-z0-9]").alias("p"), shape.alias("s")), lambda z: let(placed(z), by_place))
 
 
 def _digits(x: Column) -> Column:
@@ -104,39 +114,43 @@ def _mod97(x: Column) -> Column:
     return F.aggregate(F.transform(_chars(moved), lambda c: F.ascii(c).cast("long")), F.lit(0).cast("long"), step)
 
 
+def _ten(digits: Column) -> Column:
+    return F.transform(digits, lambda d: F.lit(10).cast("long"))
+
+
 def _card(x: Column, key: str) -> Column:
-    digits = _digits(x)
-    n = F.size(digits)
-    body = feistel(F.slice(digits, 1, n - 1), F.transform(F.slice(digits, 1, n - 1), lambda d: F.lit(10).cast("long")), key, F.concat(F.lit("card"), n.cast("string")))
-    # The check digit makes the sum a multiple of 10.
-    check = F.pmod(-luhn_sum(F.concat(body, F.array(F.lit(0).cast("long")))), F.lit(10).cast("long"))
-    chars = _chars(x)
-    new = F.transform(F.concat(body, F.array(check)), lambda d: d.cast("string"))
-    return F.when(luhn_sum(digits) % 10 == 0, _refill(chars, _places(chars, "[0-9]"), new)).otherwise(x)
+    def checked(body: Column) -> Column:
+        # The check digit makes the sum a multiple of 10.
+        check = F.pmod(-luhn_sum(F.concat(body, F.array(F.lit(0).cast("long")))), F.lit(10).cast("long"))
+        return F.concat(body, F.array(check)).cast("array<string>")
+
+    def new(d: Column) -> Column:
+        n = F.size(d)
+        body = feistel(F.slice(d, 1, n - 1), _ten(F.slice(d, 1, n - 1)), key, F.concat(F.lit("card"), n.cast("string")))
+        return F.when(luhn_sum(d) % 10 == 0, _refill(_chars(x), _places(_chars(x), "[0-9]"), let(body, checked))).otherwise(x)
+
+    return let(_digits(x), new)
 
 
 def _phone(x: Column, key: str) -> Column:
     """The last ten digits; area code and exchange keep starting with 2 to 9."""
-    chars = _chars(x)
-    every = _places(chars, "[0-9]")
-    places = F.slice(every, -10, 10)
-    values = F.transform(places, lambda i: F.get(chars, i).cast("long"))
-    lead = lambda i: (i == 0) | (i == 3)
-    radices = F.transform(places, lambda p, i: F.when(lead(i), 8).otherwise(10).cast("long"))
-    new = feistel(F.transform(values, lambda v, i: F.when(lead(i), v - 2).otherwise(v)), radices, key, F.lit("phone"))
-    return _refill(chars, places, F.transform(new, lambda v, i: F.when(lead(i), v + 2).otherwise(v).cast("string")))
+    least = F.array(*[F.lit(2 if i in (0, 3) else 0).cast("long") for i in range(10)])
+    radices = F.array(*[F.lit(8 if i in (0, 3) else 10).cast("long") for i in range(10)])
+    new = feistel(F.zip_with(F.slice(_digits(x), -10, 10), least, lambda d, a: d - a), radices, key, F.lit("phone"))
+    return _refill(_chars(x), F.slice(_places(_chars(x), "[0-9]"), -10, 10), F.zip_with(new, least, lambda d, a: d + a).cast("array<string>"))
 
 
 def _ip(x: Column, key: str) -> Column:
-    octets = F.transform(F.split(x, r"\."), lambda o: o.cast("long"))
-    return F.array_join(F.transform(feistel(octets, F.transform(octets, lambda o: F.lit(256).cast("long")), key, F.lit("ip")), lambda o: o.cast("string")), ".")
+    octets = F.split(x, r"\.").cast("array<bigint>")
+    return F.array_join(feistel(octets, F.array(*[F.lit(256).cast("long")] * 4), key, F.lit("ip")).cast("array<string>"), ".")
 
 
 def _date(x: Column, key: str) -> Column:
     day = F.datediff(F.try_to_date(x, "yyyy-MM-dd"), F.lit(DAY_0).cast("date")).cast("long")
     a, b = DAYS
     new = feistel(F.array((day / b).cast("long"), day % b), F.array(F.lit(a).cast("long"), F.lit(b).cast("long")), key, F.lit("date"))
-    return F.coalesce(F.date_format(F.date_add(F.lit(DAY_0).cast("date"), (F.get(new, 0) * b + F.get(new, 1)).cast("int")), "yyyy-MM-dd"), x)
+    dated = lambda v: F.date_format(F.date_add(F.lit(DAY_0).cast("date"), (F.get(v, 0) * b + F.get(v, 1)).cast("int")), "yyyy-MM-dd")
+    return F.when(day.isNull(), x).otherwise(let(new, dated))
 
 
 def _ssn(x: Column, key: str) -> Column:
@@ -145,49 +159,52 @@ def _ssn(x: Column, key: str) -> Column:
     area = part(1, 3)
     values = F.array(F.when(area > 666, area - 2).otherwise(area - 1), part(5, 2) - 1, part(8, 4) - 1)
     new = feistel(values, F.array(*[F.lit(r).cast("long") for r in (898, 99, 9999)]), key, F.lit("ssn"))
-    area = F.get(new, 0) + 1
-    return F.format_string("%03d-%02d-%04d", F.when(area >= 666, area + 1).otherwise(area), F.get(new, 1) + 1, F.get(new, 2) + 1)
+    placed = lambda v: F.format_string("%03d-%02d-%04d", F.get(v, 0) + F.when(F.get(v, 0) >= 665, 2).otherwise(1), F.get(v, 1) + 1, F.get(v, 2) + 1)
+    return let(new, placed)
 
 
 def _iban(x: Column, key: str) -> Column:
-    plain = F.regexp_replace(x, " ", "")
-    body = _swap(F.substring(plain, 5, 40), "[A-Z0-9]", None, key, "iban")
-    bare = F.concat(F.substring(plain, 1, 2), F.lit("00"), body)
-    new = F.concat(F.substring(plain, 1, 2), F.lpad((F.lit(98) - _mod97(bare)).cast("string"), 2, "0"), body)
-    chars = _chars(x)
-    return F.when(_mod97(plain) == 1, _refill(chars, _places(chars, "[A-Z0-9]"), _chars(new))).otherwise(x)
+    def new(plain: Column) -> Column:
+        land = F.substring(plain, 1, 2)
+        checked = lambda body: F.concat(land, F.lpad((F.lit(98) - _mod97(F.concat(land, F.lit("00"), body))).cast("string"), 2, "0"), body)
+        full = let(_swap(F.substring(plain, 5, 40), key, "iban"), checked)
+        return F.when(_mod97(plain) == 1, _refill(_chars(x), _places(_chars(x), "[A-Z0-9]"), _chars(full))).otherwise(x)
+
+    return let(F.regexp_replace(x, " ", ""), new)
 
 
 def _email(x: Column, key: str) -> Column:
     """The local part; the domain stays."""
-    return F.concat(_swap(F.substring_index(x, "@", 1), "[A-Za-z0-9]", None, key, "email"), F.lit("@"), F.substring_index(x, "@", -1))
+    return F.concat(_swap(F.substring_index(x, "@", 1), key, "email"), F.lit("@"), F.substring_index(x, "@", -1))
 
 
 KINDS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def _keyed(new, key: str):
-    return lambda x: new(x, key)
-
-
 def pseudonymize(docs: DataFrame, key: str = "demo-key", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
     """docs with its text's personal data replaced, and n_pseudonyms, the number of replaced values.
 
-    Kinds are looked for in the order given, each in what the ones before it left. Values that fail their kind's
+    Where several kinds would match at one place, the first in the order given takes it. Values that fail their kind's
     check (Luhn's sum, mod 97, a calendar day, octets, area codes) stay as they are.
 
     Null text stays null with count 0; empty and clean texts are unchanged; rows are independent, so equal rows get
     equal results and an empty table gives an empty one; extra columns are kept (a column n_pseudonyms is replaced).
     """
-    text, count = "__pii_text", "__pii_count"
-    out = docs.withColumn(text, docs["text"]).withColumn(count, F.lit(0))
-    for kind in kinds:
-        pattern, new = PATTERNS[kind], KINDS[kind]
-        found, parts, swapped = "__pii_found", "__pii_parts", "__pii_new"
-        out = out.withColumn(found, F.when(F.col(text).rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-        out = out.withColumn(swapped, F.transform(found, _keyed(new, key)))
-        out = out.withColumn(parts, F.when(F.col(found).isNotNull(), F.split(text, pattern, -1)))
-        joined = F.array_join(F.zip_with(parts, F.col(swapped), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-        changed = F.size(F.filter(F.arrays_zip(F.col(found).alias("a"), F.col(swapped).alias("b")), lambda z: z.a != z.b))
-        out = out.withColumn(count, F.col(count) + F.when(F.col(found).isNull(), 0).otherwise(changed)).withColumn(text, F.when(F.col(found).isNull(), F.col(text)).otherwise(joined)).drop(found, parts, swapped)
-    return out.withColumn("text", F.col(text)).withColumn("n_pseudonyms", F.col(count)).drop(text, count)
+    pattern = "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
+
+    def new(x: Column) -> Column:
+        out = None
+        for k in kinds:
+            own = x.rlike(f"^(?:{PATTERNS[k]})$")
+            out = F.when(own, KINDS[k](x, key)) if out is None else out.when(own, KINDS[k](x, key))
+        return out.otherwise(x)
+
+    # Every kind has a digit or an at sign, which most texts lack.
+    held = docs["text"].rlike("[0-9@]") & docs["text"].rlike(pattern)
+    found = F.when(held, F.regexp_extract_all(docs["text"], F.lit(pattern), F.lit(0)))
+    out = docs.withColumn("__found", found)
+    out = out.withColumn("__new", F.transform("__found", new))
+    joined = F.array_join(F.zip_with(F.split("text", pattern, -1), "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda z: z))
+    out = out.withColumn("n_pseudonyms", F.when(F.col("__found").isNull(), 0).otherwise(changed))
+    return out.withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(joined)).drop("__found", "__new")
