@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bytecnn, jpeg, line_chunks, mixing, packing, pseudonyms, toxicity
+from . import ann, bytecnn, jpeg, line_chunks, mixing, packing, pseudonyms, toxicity
 from .support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,11 @@ def op10_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFram
 def op9_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bytecnn.classify(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("row.doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op7_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    # Up to a million vectors fit 128 buckets a table; beyond, two axes a table and more probes.
+    more = {} if vectors.count() < 1_000_000 else {"halves": 2, "tables": 16, "probes": 120}
+    return ann.search(spark, vectors, vectors.where("vec_id % 50 = 0"), **more)
