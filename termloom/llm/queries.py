@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ann, bytecnn, jpeg, line_chunks, mixing, packing, pseudonyms, toxicity
+from . import ann, bytecnn, jpeg, line_chunks, mixing, neardup, packing, pseudonyms, toxicity
 from .support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_pseudonyms")
 
 
+@query
+def op2_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(spark, table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 @query
 def op3_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
