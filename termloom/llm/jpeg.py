@@ -11,6 +11,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -198,6 +199,7 @@ class Image:
         return np.array(order), -(-self.width // (8 * h)) * -(-self.height // (8 * v))
 
 
+@lru_cache(64)
 def lookup(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Symbol and code length for each 16 bits that a code may start; length 0 where none does."""
     sym, size = np.zeros(1 << 16, np.int16), np.zeros(1 << 16, np.int16)
