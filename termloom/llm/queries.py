@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ann, bytecnn, jpeg, line_chunks, mixing, neardup, packing, pseudonyms, toxicity
+from . import ann, bytecnn, jpeg, line_chunks, mixing, neardup, packing, pseudonyms, repeats, toxicity
 from .support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_source_mixing"] = mixing.ORACLE
 
 
+@query
+def op5_induced_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(spark, table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_chunks.deduplicate(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
