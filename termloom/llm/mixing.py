@@ -85,6 +85,27 @@ def mix(
     return flow.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * taken).alias("taken"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of docs as often as mix() takes it, with all its columns.
+
+    Rows equal in doc_id, source and size are taken as often together as mix() says, dealt evenly among them."""
+    cut = Cut(spark)
+    taken = mix(spark, docs, **options).where("size > 0")
+    taken = taken.groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.first("size")).cast("int").alias("times"), F.count("*").cast("int").alias("rows"))
+    taken = cut(taken.where("times > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("times").alias("__times"), F.col("rows").alias("__rows")))
+    found = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (word_count(docs["text"]) == F.col("__size")))
+    columns = [docs[c] for c in docs.columns]
+    single = found.where("__rows = 1").select(*columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__n"))
+    out = single.select(*docs.columns)
+    if not taken.where("__rows > 1").isEmpty():
+        each = Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(docs["text"]))
+        several = found.where("__rows > 1").withColumn("__n", F.row_number().over(each) - 1)
+        share = F.floor(F.col("__times") / F.col("__rows")) + F.when(F.col("__n") < F.col("__times") % F.col("__rows"), 1).otherwise(0)
+        several = several.withColumn("__share", share.cast("int")).where("__share > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("__share"))).alias("__m"))
+        out = out.union(several.select(*docs.columns))
+    return out
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
     """Adds rank, weight and target to (source, source_size, ...): the water level at which capped shares use the budget.
 
