@@ -1,10 +1,410 @@
-"""Queries and oracles of the retrieval engine, by name."""
+"""Queries of the retrieval engine over the documents table, by name, and the DuckDB SQL of each where SQL expresses it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import IndexConfig, QueryConfig
+from ..functions.codec import coded, decode_list, decode_udf, encode_list, from_gaps, gamma, gaps, unary
+from ..functions.porter import stem_udf
+from ..functions.text import STOP_WORDS, clean
+from ..operators import index as ix
+from ..operators import lookup, merge, metrics
+from ..operators.search import candidates, pruned_search, search, search_one, with_bounds
+from . import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+TOPICS = [(1, "anat ouen"), (2, "the of in"), (3, "adoci aielle the"), (4, "anat zzzz"), (5, "la de que"), (6, "anat anat ouen")]
+ONE = "adoci aielle the"
+BOTH = "anat ouen"
+
+# ---- pieces of SQL ----
+TOKENS = "toks as (select doc_id, unnest(string_split(trim(lower(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g'))), ' ')) as tok from documents where text <> '' and doc_id is not null)"
+POSTINGS = f"{TOKENS}, post as (select tok, doc_id, count(*)::integer as tf from toks group by tok, doc_id)"
+DOCS = f"{POSTINGS}, docs as (select doc_id, count(*)::integer as len from toks group by doc_id), lex as (select tok, count(*)::bigint as df, sum(tf)::bigint as cf from post group by tok), st as (select count(*)::bigint as n_docs, sum(len)::bigint as total_len, avg(len)::double as avg_len from docs)"
+WEIGHTS = {
+    "TFIDF": "(1 + ln(tf::double)) * idf",
+    "BM25": "idf * tf / (tf + 1.2::double * (0.25::double + 0.75::double * len / avg_len))",
+    "BM11": "idf * tf / (tf + 1.2::double * len / avg_len)",
+    "BM15": "idf / 1.2::double",
+}
+
+
+def scored_sql(scoring: str, method: str, topics: str) -> str:
+    """CTEs up to scored(qid, doc_id, score, pos); topics: a SELECT of qid and query."""
+    out = f"""with {DOCS}, topic as ({topics}),
+qt as (select qid, generate_subscripts(string_split(trim(lower(regexp_replace(query, '[^a-zA-Z0-9]+', ' ', 'g'))), ' '), 1) as pos,
+  unnest(string_split(trim(lower(regexp_replace(query, '[^a-zA-Z0-9]+', ' ', 'g'))), ' ')) as tok from topic),
+q as (select qid, tok, min(pos) as pos from qt group by qid, tok),
+nq as (select qid, count(*) as n_terms from q group by qid),
+hit as (select q.qid, post.doc_id, q.pos, post.tf, docs.len, st.avg_len, ln(st.n_docs::double / lex.df) as idf
+  from q join post using (tok) join lex using (tok) join docs using (doc_id) cross join st),
+per as (select qid, doc_id, sum({WEIGHTS[scoring]} order by pos) as score, min(pos) as pos, count(*) as matched from hit group by qid, doc_id)"""
+    if method == "conjunctive":
+        return out + """,
+scored as (select qid, doc_id, round(case when matched = n_terms then score else 0 end, 6) as score, pos from per join nq using (qid)
+  where qid in (select qid from per join nq using (qid) where matched = n_terms))"""
+    return out + ",\nscored as (select qid, doc_id, round(score, 6) as score, pos from per)"
+
+
+def topk_sql(scoring: str, method: str, topics: str, k: int) -> str:
+    return f"""{scored_sql(scoring, method, topics)},
+ranked as (select qid, row_number() over (partition by qid order by score desc, pos, doc_id) as rank, doc_id, score from scored)
+select qid::bigint as qid, rank::integer as rank, doc_id, doc_id as docno, score from ranked where rank <= {k}"""
+
+
+TOPIC_SQL = "select * from (values " + ", ".join(f"({i}, '{q}')" for i, q in TOPICS) + ") t(qid, query)"
+BENCH_SQL = "select item_id as qid, text as query from benchmark"
+STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
+QREL_SQL = "select t.qid::bigint as qid, l.doc_id, (l.quality * (1 + (case when l.doc_id % 3 = t.qid % 3 then 1 else 0 end)))::integer as rel from labels l cross join (" + TOPIC_SQL + ") t"
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def topics(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TOPICS, "qid long, query string")
+
+
+def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded stand-ins from labels, for each of the few topics."""
+    judged = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    qid = F.explode(F.array(*[F.lit(i).cast("long") for i, _ in TOPICS])).alias("qid")
+    rel = F.col("quality") * (1 + F.when(F.col("doc_id") % 3 == F.col("qid") % 3, 1).otherwise(0))
+    return judged.select("*", qid).select("qid", F.col("doc_id").alias("docid"), rel.cast("int").alias("rel"))
+
+
+# ---- text and build ----
+@query("select doc_id, md5(trim(lower(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g')))) as clean_md5, length(trim(lower(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g'))))::integer as clean_len from documents where text <> ''")
+def clean_text(spark, sf_dir):
+    return corpus.rows(spark, sf_dir).select(F.col("docid").alias("doc_id"), F.md5(clean(F.col("text"))).alias("clean_md5"), F.length(clean(F.col("text"))).alias("clean_len"))
+
+
+@query(f"with {POSTINGS} select tok, doc_id, tf from post")
+def token_counts(spark, sf_dir):
+    return ix.term_counts(corpus.rows(spark, sf_dir), IndexConfig()).withColumnRenamed("docid", "doc_id")
+
+
+@query(f"with {POSTINGS} select count(*)::bigint as postings, count(distinct tok)::bigint as terms, sum(tf)::bigint as occurrences from post")
+def index_build(spark, sf_dir):
+    """A whole build: analyse, count, sort, write, read back."""
+    built = ix.build(spark, corpus.rows(spark, sf_dir), IndexConfig("fresh"), f"{corpus.work_dir(spark)}/fresh")
+    return built.postings.agg(F.count("*").alias("postings"), F.sum("tf").cast("long").alias("occurrences")).crossJoin(built.lexicon.agg(F.count("*").alias("terms")))
+
+
+@query(f"with {POSTINGS} select tok, doc_id, tf from post")
+def postings(spark, sf_dir):
+    return corpus.index(spark, sf_dir).postings.withColumnRenamed("docid", "doc_id")
+
+
+@query(f"with {DOCS} select doc_id, len from docs")
+def doc_table(spark, sf_dir):
+    return corpus.index(spark, sf_dir).docs.select(F.col("docid").alias("doc_id"), "len")
+
+
+@query(f"with {DOCS} select tok, df, cf from lex")
+def lexicon(spark, sf_dir):
+    return corpus.index(spark, sf_dir).lexicon
+
+
+@query(f"with {DOCS} select n_docs, total_len, round(avg_len, 6) as avg_len, (select count(*) from lex)::bigint as n_terms from st")
+def collection_stats(spark, sf_dir):
+    built = corpus.index(spark, sf_dir)
+    return ix.statistics(built.docs, built.lexicon).withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query(f"with {TOKENS} select tok, doc_id, count(*)::integer as tf from toks where tok not in {STOP_SQL} group by tok, doc_id")
+def stopword_postings(spark, sf_dir):
+    return ix.term_counts(corpus.rows(spark, sf_dir), IndexConfig(keep_stop=False)).withColumnRenamed("docid", "doc_id")
+
+
+@query(f"with {TOKENS}, kept as (select doc_id, count(*)::integer as len from toks where tok not in {STOP_SQL} group by doc_id) select d.doc_id, coalesce(kept.len, 0)::integer as len from (select doc_id from documents where text <> '') d left join kept using (doc_id)")
+def stopword_doc_table(spark, sf_dir):
+    return ix.document_table(corpus.rows(spark, sf_dir), IndexConfig(keep_stop=False)).select(F.col("docid").alias("doc_id"), "len")
+
+
+@query()
+def stemmed_lexicon(spark, sf_dir):
+    return corpus.index(spark, sf_dir, IndexConfig("stemmed", stem=True)).lexicon
+
+
+@query()
+def stemmed_terms(spark, sf_dir):
+    return corpus.index(spark, sf_dir).lexicon.select("tok", stem_udf()("tok").alias("stem"))
+
+
+@query("select min(doc_id)::bigint as docid, md5(text) as text_md5 from documents where text <> '' group by text")
+def dedup_first(spark, sf_dir):
+    from ..sources.collections import first_by_docno
+
+    rows = corpus.rows(spark, sf_dir).withColumn("docno", F.md5("text"))
+    return first_by_docno(rows).select("docid", F.col("docno").alias("text_md5"))
+
+
+@query("select doc_id, n_chars from documents where doc_id >= 100 and doc_id < 200")
+def row_fetch_range(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return df.where("doc_id >= 100 and doc_id < 200").select("doc_id", "n_chars")
+
+
+@query("select doc_id, md5(text) as text_md5 from documents where doc_id = 126")
+def row_fetch(spark, sf_dir):
+    from ..sources.collections import fetch
+
+    return fetch(corpus.rows(spark, sf_dir), 126).select(F.col("docno").alias("doc_id"), F.md5("text").alias("text_md5"))
+
+
+# ---- lookups ----
+@query(f"with {DOCS} select tok, df from lex where tok in ('anat', 'the', 'zzzz')")
+def lexicon_lookup(spark, sf_dir):
+    return lookup.any_of(corpus.index(spark, sf_dir).lexicon, "tok", ["anat", "the", "zzzz"]).select("tok", "df")
+
+
+@query(f"with {DOCS} select tok, df from lex where tok >= 'anau' order by tok limit 1")
+def next_geq_term(spark, sf_dir):
+    return lookup.next_geq(corpus.index(spark, sf_dir).lexicon, "tok", "anau").select("tok", "df")
+
+
+@query(f"with {DOCS} select tok, df from lex order by tok desc limit 1")
+def last_term(spark, sf_dir):
+    return lookup.last_row(corpus.index(spark, sf_dir).lexicon, "tok").select("tok", "df")
+
+
+@query(f"with {DOCS} select doc_id, len from docs where doc_id % 7 = 3 and len > 0")
+def length_lookup(spark, sf_dir):
+    docs = corpus.index(spark, sf_dir).docs
+    return lookup.document_lengths(docs, docs.where("docid % 7 = 3").select("docid")).withColumnRenamed("docid", "doc_id")
+
+
+@query(f"with {POSTINGS} select tok, min(doc_id)::bigint as doc_id from post where doc_id >= 500 group by tok")
+def posting_next_geq(spark, sf_dir):
+    lists = ix.posting_lists(corpus.index(spark, sf_dir).postings)
+    return lists.select("tok", lookup.posting_next_geq(F.col("docids"), 500).alias("doc_id")).where("doc_id is not null")
+
+
+# ---- posting lists and codecs ----
+@query(f"with {POSTINGS} select tok, string_agg(doc_id::varchar, ',' order by doc_id) as docids, string_agg(tf::varchar, ',' order by doc_id) as freqs from post group by tok")
+def posting_lists(spark, sf_dir):
+    lists = ix.posting_lists(corpus.index(spark, sf_dir).postings)
+    return lists.select("tok", F.array_join(F.col("docids").cast("array<string>"), ",").alias("docids"), F.array_join(F.col("freqs").cast("array<string>"), ",").alias("freqs"))
+
+
+@query(f"with {POSTINGS} select tok, doc_id, (doc_id - lag(doc_id, 1, 0) over (partition by tok order by doc_id))::bigint as gap from post")
+def posting_gaps(spark, sf_dir):
+    return ix.posting_gaps(corpus.index(spark, sf_dir).postings).withColumnRenamed("docid", "doc_id")
+
+
+@query(f"with {POSTINGS} select tok, doc_id from post")
+def gap_decode(spark, sf_dir):
+    gapped = ix.posting_gaps(corpus.index(spark, sf_dir).postings).withColumnRenamed("docid", "at")
+    return ix.gap_decode(gapped).select("tok", F.col("docid").alias("doc_id"))
+
+
+NUMBERS = "(select distinct tf as n from post)"
+
+
+@query(f"with {POSTINGS} select n, repeat('1', n - 1) || '0' as bits from {NUMBERS}")
+def unary_bits(spark, sf_dir):
+    return corpus.index(spark, sf_dir).postings.select(F.col("tf").alias("n")).distinct().select("n", unary(F.col("n")).alias("bits"))
+
+
+@query(f"with {POSTINGS} select n, repeat('1', length(bin(n)) - 1) || '0' || substr(bin(n), 2) as bits from {NUMBERS}")
+def gamma_bits(spark, sf_dir):
+    return corpus.index(spark, sf_dir).postings.select(F.col("tf").alias("n")).distinct().select("n", gamma(F.col("n")).alias("bits"))
+
+
+@query(
+    f"with {POSTINGS}, g as (select tok, tf, doc_id - lag(doc_id, 1, -1) over (partition by tok order by doc_id) as gap from post), b as (select tok, sum(gap + tf)::bigint as unary_bits, sum(2 * (length(bin(gap)) - 1) + 1 + 2 * (length(bin(tf)) - 1) + 1)::bigint as gamma_bits from g group by tok) select tok, unary_bits, gamma_bits, ceil(gamma_bits / 8)::bigint as gamma_bytes from b"
+)
+def compressed_size(spark, sf_dir):
+    """Sizes from code lengths alone; no list is gathered."""
+    before = F.lag("docid", 1, -1).over(Window.partitionBy("tok").orderBy("docid"))
+    gapped = corpus.index(spark, sf_dir).postings.select("tok", "tf", (F.col("docid") - before).alias("gap"))
+    bits = lambda c: 2 * (F.length(F.bin(c)) - 1) + 1
+    out = gapped.groupBy("tok").agg(F.sum(F.col("gap") + F.col("tf")).cast("long").alias("unary_bits"), F.sum(bits(F.col("gap")) + bits(F.col("tf"))).cast("long").alias("gamma_bits"))
+    return out.withColumn("gamma_bytes", F.ceil(F.col("gamma_bits") / 8).cast("long"))
+
+
+@query(f"with {POSTINGS} select tok, count(*)::integer as n, true as ok from post group by tok")
+def codec_roundtrip(spark, sf_dir):
+    lists = ix.posting_lists(corpus.index(spark, sf_dir).postings)
+    coded_ = lists.withColumn("code", encode_list(F.col("docids"), F.col("freqs"), "gamma"))
+    out = coded_.withColumn("back", decode_list(F.col("code"), "gamma"))
+    return out.select("tok", F.size("docids").alias("n"), ((F.col("back.docids") == F.col("docids")) & (F.col("back.freqs") == F.col("freqs"))).alias("ok"))
+
+
+@query(f"with {POSTINGS} select tok, count(*)::integer as n, sum(tf)::bigint as total from post group by tok")
+def unary_frequencies(spark, sf_dir):
+    """Frequencies packed by the unary code and read back."""
+    lists = ix.posting_lists(corpus.index(spark, sf_dir).postings)
+    from ..functions.codec import pack
+
+    back = decode_udf("unary")(pack(coded(F.col("freqs").cast("array<bigint>"), "unary")))
+    out = lists.select("tok", F.size("docids").alias("n"), back.alias("back"))
+    return out.select("tok", "n", F.aggregate("back", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"with {POSTINGS} select tok, max(doc_id)::bigint as last from post group by tok")
+def list_gap_decode(spark, sf_dir):
+    lists = ix.posting_lists(corpus.index(spark, sf_dir).postings)
+    return lists.select("tok", F.array_max(from_gaps(gaps(F.col("docids")))).alias("last"))
+
+
+# ---- queries ----
+def _one(method: str, scoring: str, text: str, k: int = 10):
+    def run(spark, sf_dir):
+        return search_one(spark, corpus.index(spark, sf_dir), text, QueryConfig(method, scoring, k))
+
+    return run
+
+
+for _short, _method in (("and", "conjunctive"), ("or", "disjunctive")):
+    for _scoring in WEIGHTS:
+        _text = BOTH if _short == "and" else ONE
+        _name = f"{_short}_{_scoring.lower()}_topk"
+        QUERIES[_name] = _one(_method, _scoring, _text)
+        ORACLES[_name] = f"select rank, doc_id as docid, docno, score from ({topk_sql(_scoring, _method, f'''select 0 as qid, '{_text}' as query''', 10)})"
+QUERIES["and_unknown_term"] = _one("conjunctive", "BM25", "anat zzzz")
+ORACLES["and_unknown_term"] = f"select rank, doc_id as docid, docno, score from ({topk_sql('BM25', 'conjunctive', '''select 0 as qid, 'anat zzzz' as query''', 10)})"
+QUERIES["empty_query"] = _one("disjunctive", "TFIDF", "?!")
+ORACLES["empty_query"] = f"select rank, doc_id as docid, docno, score from ({topk_sql('TFIDF', 'disjunctive', '''select 0 as qid, '?!' as query''', 10)})"
+
+
+@query(f"{scored_sql('BM25', 'conjunctive', TOPIC_SQL)} select qid::bigint as qid, doc_id from per join nq using (qid) where matched = n_terms")
+def and_candidates(spark, sf_dir):
+    return candidates(corpus.index(spark, sf_dir), topics(spark), "conjunctive").withColumnRenamed("docid", "doc_id")
+
+
+@query(f"{scored_sql('BM25', 'disjunctive', TOPIC_SQL)} select qid::bigint as qid, doc_id from per")
+def or_candidates(spark, sf_dir):
+    return candidates(corpus.index(spark, sf_dir), topics(spark), "disjunctive").withColumnRenamed("docid", "doc_id")
+
+
+def _batch(method: str, scoring: str, k: int):
+    def run(spark, sf_dir):
+        asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+        return search(corpus.index(spark, sf_dir), asked, QueryConfig(method, scoring, k)).withColumnRenamed("docid", "doc_id")
+
+    return run
+
+
+for _name, _args in {"batch_bm25_topk": ("disjunctive", "BM25", 10), "batch_and_tfidf_topk": ("conjunctive", "TFIDF", 20), "batch_bm11_topk": ("disjunctive", "BM11", 10)}.items():
+    QUERIES[_name] = _batch(*_args)
+    ORACLES[_name] = topk_sql(_args[1], _args[0], BENCH_SQL, _args[2])
+
+
+@query(f"select rank, doc_id as docid, docno, score from ({topk_sql('BM25', 'disjunctive', f'''select 0 as qid, '{ONE}' as query''', 10)})")
+def pruned_bm25_topk(spark, sf_dir):
+    built, config = corpus.index(spark, sf_dir), QueryConfig()
+    return pruned_search(spark, built, ONE, config, with_bounds(built, config))
+
+
+# ---- ranges and partitions ----
+@query("with v as (select distinct doc_id as v from documents where doc_id % 10 <> 4 and text <> ''), g as (select v, v - row_number() over (order by v) as island from v) select min(v)::bigint as lo, max(v)::bigint as hi from g group by island")
+def content_ranges(spark, sf_dir):
+    return ix.content_ranges(corpus.rows(spark, sf_dir).where("docno % 10 <> 4"))
+
+
+@query("select doc_id as docno from documents where doc_id % 10 = 4 and text <> '' and doc_id < (select max(doc_id) from documents where doc_id % 10 <> 4)")
+def missing_ids(spark, sf_dir):
+    return ix.missing_ids(corpus.rows(spark, sf_dir).where("docno % 10 <> 4").select("docno"), spark)
+
+
+@query(f"with {DOCS} select tok, df, cf from lex")
+def partition_merge_lexicon(spark, sf_dir):
+    docs, posts = merge.partitioned(corpus.rows(spark, sf_dir), IndexConfig(), 4)
+    return merge.merged(docs, posts)[2]
+
+
+@query("select doc_id as docno, row_number() over (order by doc_id) - 1 as global_id from documents where text <> ''")
+def partition_renumber(spark, sf_dir):
+    return merge.renumber(merge.split(corpus.rows(spark, sf_dir), 4)).select("docno", "global_id")
+
+
+@query("select doc_id as docno, md5(text) as text_md5 from documents where text <> ''")
+def partition_repair(spark, sf_dir):
+    rows = corpus.rows(spark, sf_dir).select("docid", "docno", "text")
+    last = int(rows.agg(F.max("docno")).first()[0])
+    return merge.repaired(spark, rows.where("docno % 10 <> 4"), rows, last).select("docno", F.md5("text").alias("text_md5"))
+
+
+# ---- evaluation ----
+RUN_SQL = topk_sql("TFIDF", "conjunctive", TOPIC_SQL, 20)
+CUTS = (5, 10, 20)
+
+
+def _run(spark, sf_dir):
+    return search(corpus.index(spark, sf_dir), topics(spark), QueryConfig("conjunctive", "TFIDF", 20))
+
+
+@query(f"select qid as query, 'q0' as q0, docno::varchar as docid, (rank - 1)::bigint as rank, score, 'main' as system from ({RUN_SQL})")
+def trec_run(spark, sf_dir):
+    return metrics.run_table(_run(spark, sf_dir), "main")
+
+
+METRIC_SQL = f"""run as ({RUN_SQL}), qr as ({QREL_SQL}),
+j as (select run.qid, run.rank, qr.rel, sum(case when rel > 0 then 1 else 0 end) over w as hits, sum(case when rel <= 0 then 1 else 0 end) over w as wrong
+  from run left join qr on run.qid = qr.qid and run.docno = qr.doc_id window w as (partition by run.qid order by rank rows unbounded preceding)),
+need as (select qid, sum(case when rel > 0 then 1 else 0 end) as r, sum(case when rel <= 0 then 1 else 0 end) as n from qr group by qid),
+idl as (select qid, rel, row_number() over (partition by qid order by rel desc, doc_id) as place from qr where rel > 0),
+best as (select qid, {", ".join(f"sum(case when place <= {k} then rel / log2(place + 1) else 0 end) as i{k}" for k in CUTS)} from idl group by qid),
+m as (select j.qid, count(*)::bigint as num_ret, any_value(r)::bigint as num_rel, sum(case when rel > 0 then 1 else 0 end)::bigint as num_rel_ret,
+  sum(case when rel > 0 then hits / rank else 0 end) / any_value(r) as map, sum(case when rel > 0 and rank <= r then 1 else 0 end) / any_value(r) as rprec,
+  coalesce(max(case when rel > 0 then 1 / rank end), 0) as recip_rank,
+  sum(case when rel > 0 then (case when wrong = 0 then 1 else 1 - least(wrong, r) / least(r, n) end) else 0 end) / any_value(r) as bpref,
+  {", ".join(f'sum(case when rel > 0 and rank <= {k} then 1 else 0 end) / {k} as p{k}, sum(case when rel > 0 and rank <= {k} then rel / log2(rank + 1) else 0 end) / any_value(i{k}) as ndcg{k}' for k in CUTS)}
+  from j join need using (qid) left join best using (qid) group by j.qid)"""
+METRIC_COLUMNS = {"map": "map", "Rprec": "rprec", "recip_rank": "recip_rank", "bpref": "bpref"} | {f"P@{k}": f"p{k}" for k in CUTS} | {f"NDCG@{k}": f"ndcg{k}" for k in CUTS}
+ROUNDED = ", ".join(f"round({v}::double, 6) as {v}" for v in METRIC_COLUMNS.values())
+
+
+def _per_topic(spark, sf_dir):
+    return metrics.per_topic(_run(spark, sf_dir), qrels(spark, sf_dir), CUTS)
+
+
+def _rounded(df, *first):
+    return df.select(*first, *[F.round(F.col(f"`{k}`"), 6).alias(v) for k, v in METRIC_COLUMNS.items()])
+
+
+@query(f"with {METRIC_SQL} select qid, num_ret, num_rel, num_rel_ret, {ROUNDED} from m")
+def metrics_per_topic(spark, sf_dir):
+    return _rounded(_per_topic(spark, sf_dir), "qid", "num_ret", "num_rel", "num_rel_ret")
+
+
+@query(f"with {METRIC_SQL} select count(*)::bigint as num_q, sum(num_ret)::bigint as num_ret, round(exp(avg(ln(greatest(map, 1e-5::double)))), 6) as gm_map, {', '.join(f'round(avg({v}), 6) as {v}' for v in METRIC_COLUMNS.values())} from m")
+def metrics_mean(spark, sf_dir):
+    return _rounded(metrics.mean(_per_topic(spark, sf_dir), CUTS), "num_q", "num_ret", F.round("gm_map", 6).alias("gm_map"))
+
+
+@query(f"with {METRIC_SQL}, t as ({TOPIC_SQL}) select t.qid::bigint as qid, m.num_ret is null as empty, round(m.map, 6) as map from t left join m on t.qid = m.qid")
+def run_records(spark, sf_dir):
+    out = metrics.records(topics(spark), _per_topic(spark, sf_dir), "main")
+    return out.select("qid", "empty", F.round("map", 6).alias("map"))
+
+
+@query(f"with {METRIC_SQL}, t as ({TOPIC_SQL}), r as (select t.qid, coalesce(m.map, 0) as map from t left join m on t.qid = m.qid) select 'main' as name, {', '.join(f'round(max(case when qid = {i} then map end), 6) as q{i}' for i, _ in TOPICS)} from r")
+def metrics_pivot(spark, sf_dir):
+    out = metrics.pivoted(metrics.records(topics(spark), _per_topic(spark, sf_dir), "main"), "map", [i for i, _ in TOPICS])
+    return out.select("name", *[F.round(F.col(f"`{i}`"), 6).alias(f"q{i}") for i, _ in TOPICS])
+
+
+NAMES = [QueryConfig(m, s, k, a).run_name("main") for m in ("conjunctive", "disjunctive") for s in WEIGHTS for k in (10, 20) for a in ("ternary", "skipping")]
+
+
+@query(f"with t as ({TOPIC_SQL}), n as (select unnest([{', '.join(repr(n) for n in NAMES)}]) as name) select n.name, t.qid::bigint as qid from t cross join n where not (n.name like '%TFIDF%' and t.qid <= 3)")
+def pending_runs(spark, sf_dir):
+    """The grid of configurations by topics, less what was evaluated before."""
+    grid = topics(spark).select("qid", F.explode(F.array(*[F.lit(n) for n in NAMES])).alias("name"))
+    return metrics.pending(grid, grid.where("name like '%TFIDF%' and qid <= 3")).select("name", "qid")
