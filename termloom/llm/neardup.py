@@ -156,7 +156,7 @@ def classes(
     threshold: float = 0.8,
     bands: int = 25,
     rows: int = 5,
-    small: int = 64,
+    block: int = 8192,
     broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """(doc_id, key, class_id, class_key) for each row of docs(doc_id, text), key being xxhash64(text): the smallest
@@ -164,10 +164,12 @@ def classes(
 
     Texts alike but for case and punctuation are one class from the start, and only one of them goes on. Signatures of
     bands * rows registers are cut into bands; texts that share a band are candidates (a pair at 0.8 is missed once in
-    20,000). They are verified exactly, in rounds: each text with the smallest text of its buckets; then, in buckets
-    that still hold several classes, every text with one leader of another class, the leader leaving the bucket;
-    once no such bucket holds more than `small` texts, all its pairs between classes. So a pair in a bucket is either
-    verified or inside one class already, and no group of copies is expanded into its pairs.
+    20,000). They are verified exactly: first each text with the smallest text of its buckets. Buckets that then still
+    hold several classes are gathered by their smallest class, and each text outside its gathering's largest class is
+    compared with all others of other classes at once, through an index of shingles; a task holds at most `block` texts.
+    A bucket of more than `block` texts of several classes loses one leader a round, compared with all its texts of
+    other classes, until it is smaller or one class. So a pair in a bucket is verified or inside one class already,
+    and no group of copies is expanded into its pairs.
 
     Null, empty and wordless texts are classes of their own for each doc_id and text; rows equal in both fall in one
     class; null doc_id counts as the smallest; an empty table gives an empty result; other columns are not looked at.
@@ -208,22 +210,19 @@ def classes(
     while True:
         n += 1
         placed = live.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("class"))
-        open_ = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.min_by(F.struct("node", "class"), F.xxhash64("node", F.lit(n))).alias("lead")).where("lo <> hi")
-        open_ = cut(open_.select("bucket", "n", "lead"))
+        lead = F.min_by(F.struct("node", "class"), F.xxhash64("node", F.lit(n))).alias("lead")
+        open_ = cut(placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), lead).where("lo <> hi"))
         largest = open_.agg(F.max("n")).first()[0]
         if largest is None:
             break
-        placed = cut(placed.join(open_, "bucket").select("bucket", "node", "class", "lead"))
-        if largest <= small:
-            other = placed.select("bucket", F.col("node").alias("lead"), F.col("class").alias("c"))
-            pairs = placed.select("bucket", "node", "class").join(other, "bucket").where("node > lead and class <> c")
-        else:
-            pairs = placed.where(F.col("class") != F.col("lead.class")).select("node", F.col("lead.node").alias("lead"))
-        new = cut(_verified(pairs.select("node", "lead").distinct(), features, threshold))
-        edges = edges.union(new)
-        roots = components(cut, edges)
-        if largest <= small:
+        placed = cut(placed.join(open_.select("bucket", "lo", "lead"), "bucket"))
+        if largest <= block:
+            edges = edges.union(cut(_linked(cut, placed, features, threshold, block)))
+            roots = components(cut, edges)
             break
+        pairs = placed.where(F.col("class") != F.col("lead.class")).select("node", F.col("lead.node").alias("lead"))
+        edges = edges.union(cut(_verified(pairs.distinct(), features, threshold)))
+        roots = components(cut, edges)
         live = placed.where(F.col("node") != F.col("lead.node"))
     named = signed.select("doc_id", "key", "node").join(roots.select("node", "root"), "node", "left")
     named = named.withColumn("group", F.coalesce("root", "node", F.concat(F.lit(b"\x00"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b"/"), F.col("key").cast("string").cast("binary"))))
@@ -278,6 +277,79 @@ def _verified(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFr
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def links(classes_: list[bytes], hashes: list[np.ndarray], weights: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Pairs of texts of different classes with similarity `threshold` or more, enough of them to join what is alike."""
+    up = list(range(len(classes_)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    first: dict[bytes, int] = {}
+    for i, c in enumerate(classes_):
+        up[i] = find(first.setdefault(c, i))
+    size = np.array([len(h) for h in hashes])
+    total = np.array([w.sum() for w in weights], np.float64)
+    flat, flat_w, owner = np.concatenate(hashes), np.concatenate(weights).astype(np.float64), np.repeat(np.arange(len(size)), size)
+    _, ids = np.unique(flat, return_inverse=True)
+    order = np.argsort(ids, kind="stable")
+    ends = np.cumsum(np.bincount(ids))
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    root = np.array([find(i) for i in range(len(up))])
+    largest = np.bincount(root).argmax()
+    out = []
+    for x in np.flatnonzero(root != largest):
+        mine = ids[bounds[x] : bounds[x + 1]]
+        lo = np.where(mine > 0, ends[mine - 1], 0)
+        many = ends[mine] - lo
+        at = order[np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
+        who, y, own = owner[at], flat_w[at], np.repeat(flat_w[bounds[x] : bounds[x + 1]], many)
+        rest = total - np.bincount(who, weights=y, minlength=len(size))
+        # An upper bound of the similarity, and its value if all weights are 1.
+        bound = np.bincount(who, weights=1 / (total[x] / own + rest[who] / y), minlength=len(size))
+        for j in np.flatnonzero(bound >= threshold - 1e-9):
+            if find(x) != find(j) and similarity(np.sort(hashes[x]), weights[x][np.argsort(hashes[x])], np.sort(hashes[j]), weights[j][np.argsort(hashes[j])]) >= threshold:
+                up[find(x)] = find(j)
+                out.append((int(x), int(j)))
+    return out
+
+
+def _linked(cut: Cut, placed: DataFrame, features: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): links between classes within buckets (bucket, node, class, lo). Buckets with one smallest class are one
+    group if that holds at most `block` texts, else a group each."""
+    groups = placed.select("lo", "node").distinct().groupBy("lo").agg(F.count("*").alias("texts"))
+    keyed = placed.join(groups, "lo").withColumn("group", F.when(F.col("texts") <= block, F.col("lo")).otherwise(F.concat("lo", F.col("bucket").cast("string").cast("binary"))))
+    keyed = cut(keyed.select("group", "node", "class").distinct())
+    full = keyed.join(features, "node").select("group", "node", "class", "hashes", "weights")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def solve(rows: list) -> list:
+            found = links([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], threshold)
+            return [(rows[i][0], rows[j][0]) for i, j in found]
+
+        group, rows = None, []
+        for batch in batches:
+            out: list = []
+            lists = [(batch.column(c).values.to_numpy(zero_copy_only=False), batch.column(c).offsets.to_numpy(zero_copy_only=False)) for c in (3, 4)]
+            keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
+            for i, (g, node, c) in enumerate(keys):
+                if g != group:
+                    out += solve(rows) if rows else []
+                    group, rows = g, []
+                rows.append((node, c, *(v[o[i] : o[i + 1]].copy() for v, o in lists)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
+        out = solve(rows) if rows else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return full.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a binary, b binary")
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are the first of their class, by doc_id, with all their columns; of equal rows one stays.
 
