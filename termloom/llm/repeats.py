@@ -21,7 +21,7 @@ from .support import Cut
 
 POSITION_BITS = U64(24)
 #: Bytes looked at together; longer texts are taken in pieces that overlap by one string less a byte.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
@@ -250,7 +250,7 @@ def _result(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
 
 
-def spans(spark: SparkSession, docs: DataFrame, cut: Cut, length: int = 200, k: int = 64, shard: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+def spans(spark: SparkSession, docs: DataFrame, cut: Cut, length: int = 200, k: int = 64, shard: int = 3 << 19) -> tuple[DataFrame, DataFrame]:
     """(docs as doc_id, key, text), and (doc_id, key, gone), the removed [start, end) byte ranges of each text that has some."""
     # The key tells apart texts of one doc_id; where ids are unique it is 0 and costs nothing.
     ids = docs.groupBy(docs["doc_id"]).agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
