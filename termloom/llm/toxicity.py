@@ -134,9 +134,9 @@ class Model:
     def train(cls, texts: list[str], labels: np.ndarray, size: int, support: int, steps: int = 400) -> Model:
         # Copies of one text would confirm each other's rare words: of texts with the same least or greatest hash of
         # their long words, one is learnt from.
-        found, kept = [], {}
+        found, kept, one = [], {}, {}
         for i, t in enumerate(texts):
-            x = terms(t)
+            x = {one.setdefault(w, w) for w in terms(t)}
             hashes = [zlib.crc32(w.encode()) for w in x if len(w) > 8] or [zlib.crc32(t.encode())]
             kept.setdefault(min(hashes), i)
             if kept[min(hashes)] == i and kept.setdefault(-1 - max(hashes), i) == i:
@@ -159,7 +159,7 @@ class Model:
         return logistic(votes([terms(t) for t in texts], texts, self.lexicon).astype(np.float64) @ self.weights + self.bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 8000, max_chars: int = 50_000, size: int = 300, support: int = 4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, max_chars: int = 50_000, size: int = 300, support: int = 4) -> Model:
     sample = labelled(docs, labels, "toxic", rows, max_chars)
     return Model.train(sample["text"].tolist(), sample["label"].to_numpy().astype(int), size, support)
 
@@ -182,6 +182,6 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """(row, score, held_out, predicted): labels of rows outside the held-out fold alone are learnt from, at most 8,000."""
+    """(row, score, held_out, predicted): labels of rows outside the held-out fold alone are learnt from, at most 4,000."""
     out = score(spark, docs, fit(docs, labels, **options))
     return out.select("row", "score", held_out(F.col("row.doc_id")).alias("held_out"), (F.col("score") >= threshold).cast("int").alias("predicted"))
