@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import Cut
+from .support import Cut, packed
 
 #: White space that separates words.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -21,7 +21,7 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     repeats: int = 3,
     seed: str = "mix",
-    rows_per_bucket: int = 20_000,
+    rows_per_bucket: int = 2_000,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, finish_cut, taken) for each row of docs(doc_id, text, source).
 
@@ -92,18 +92,17 @@ def mixed(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     cut = Cut(spark)
     taken = mix(spark, docs, **options).where("size > 0")
     taken = taken.groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.first("size")).cast("int").alias("times"), F.count("*").cast("int").alias("rows"))
-    taken = cut(taken.where("times > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("times").alias("__times"), F.col("rows").alias("__rows")))
-    found = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (word_count(docs["text"]) == F.col("__size")))
-    columns = [docs[c] for c in docs.columns]
-    single = found.where("__rows = 1").select(*columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__n"))
-    out = single.select(*docs.columns)
-    if not taken.where("__rows > 1").isEmpty():
-        each = Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(docs["text"]))
-        several = found.where("__rows > 1").withColumn("__n", F.row_number().over(each) - 1)
-        share = F.floor(F.col("__times") / F.col("__rows")) + F.when(F.col("__n") < F.col("__times") % F.col("__rows"), 1).otherwise(0)
-        several = several.withColumn("__share", share.cast("int")).where("__share > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("__share"))).alias("__m"))
-        out = out.union(several.select(*docs.columns))
-    return out
+    taken = cut(taken.where("times > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("src"), F.col("size").alias("words"), "times", "rows"))
+    own = packed(docs, a=docs["doc_id"], b=docs["source"], c=word_count(docs["text"]), d=F.xxhash64(docs["text"]))
+    found = own.join(taken, own.a.eqNullSafe(F.col("id")) & own.b.eqNullSafe(F.col("src")) & (own.c == F.col("words")))
+    out = found.where("rows = 1").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    if not taken.where("rows > 1").isEmpty():
+        each = Window.partitionBy("id", "src", "words").orderBy("d")
+        several = found.where("rows > 1").withColumn("n", F.row_number().over(each) - 1)
+        share = F.floor(F.col("times") / F.col("rows")) + F.when(F.col("n") < F.col("times") % F.col("rows"), 1).otherwise(0)
+        several = several.withColumn("share", share.cast("int")).where("share > 0")
+        out = out.union(several.select("row", F.explode(F.sequence(F.lit(1), F.col("share")))))
+    return out.select("row.*")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import Cut, components
+from .support import Cut, components, packed
 
 U64 = np.uint64
 #: Odd multiplier of the byte polynomial, and its inverse modulo 2**64.
@@ -357,11 +357,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     cut = Cut(spark)
     named = cut(classes(spark, docs, **options))
     first = named.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))
-    kept = first.groupBy("doc_id", "key").agg(F.count("*").alias("copies")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("copies").alias("__copies"))
-    kept = cut(kept)
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")))
-    if kept.where(F.col("__copies") > 1).isEmpty():
-        return out.select(*[docs[c] for c in docs.columns])
-    single = out.where(F.col("__copies") == 1).select(*[docs[c] for c in docs.columns])
-    equal = out.where(F.col("__copies") > 1).dropDuplicates(["__id", "__key"]).select(*[docs[c] for c in docs.columns])
-    return single.union(equal)
+    kept = cut(first.groupBy("doc_id", "key").agg(F.count("*").alias("copies")))
+    own = packed(docs, id=docs["doc_id"].cast("long"), text_key=F.xxhash64(docs["text"]))
+    out = own.join(kept, own.id.eqNullSafe(kept.doc_id) & (own.text_key == kept.key))
+    if kept.where("copies > 1").isEmpty():
+        return out.select("row.*")
+    equal = out.where("copies > 1").dropDuplicates(["id", "text_key"])
+    return out.where("copies = 1").select("row").union(equal.select("row")).select("row.*")

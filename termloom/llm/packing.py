@@ -149,6 +149,11 @@ class Plan:
                 open_gap(room - fit * s, first, n)
 
 
+def best_plan(counts: dict[int, int], capacity: int, groups: tuple[int, ...]) -> Plan:
+    """Of several numbers of groups and bounds between large and small, what packs best; a plan takes under a second."""
+    return min((Plan(counts, capacity, g, capacity // d) for g in groups for d in (64, 16, 8, 4)), key=lambda x: x.n)
+
+
 def pieces(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of docs(doc_id, text)."""
 
@@ -177,8 +182,8 @@ def pack(
     docs: DataFrame,
     capacity: int = 1024,
     tokenizer: str | None = None,
-    groups: int = 16,
-    rows_per_bucket: int = 20_000,
+    groups: tuple[int, ...] = (16, 24),
+    rows_per_bucket: int = 2_000,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of docs(doc_id, text).
 
@@ -193,8 +198,7 @@ def pack(
     made = pieces(docs, capacity, tokenizer or default_path())
     made = cut(made.withColumn("salt", F.abs(F.xxhash64("doc_id", "piece"))))
     counts = {int(r["length"]): int(r["n"]) for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    # The bound between large and small that packs best; each plan takes a fraction of a second.
-    plan = min((Plan(counts, capacity, groups, capacity // d) for d in (64, 16, 8)), key=lambda x: x.n)
+    plan = best_plan(counts, capacity, groups)
     buckets = max(1, -(-max(counts.values(), default=1) // rows_per_bucket))
     made = made.withColumn("bucket", F.col("salt") % buckets)
     sums = made.groupBy("length", "bucket").agg(F.count("*").alias("n"))

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .support import packed
+
 ROUNDS = 8
 #: First day of the range within which dates are permuted, and its number of days, 319 * 229.
 DAY_0, DAYS = "1900-01-01", (319, 229)
@@ -202,9 +204,9 @@ def pseudonymize(docs: DataFrame, key: str = "demo-key", kinds: tuple[str, ...]
     # Every kind has a digit or an at sign, which most texts lack.
     held = docs["text"].rlike("[0-9@]") & docs["text"].rlike(pattern)
     found = F.when(held, F.regexp_extract_all(docs["text"], F.lit(pattern), F.lit(0)))
-    out = docs.withColumn("__found", found)
-    out = out.withColumn("__new", F.transform("__found", new))
-    joined = F.array_join(F.zip_with(F.split("text", pattern, -1), "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda z: z))
-    out = out.withColumn("n_pseudonyms", F.when(F.col("__found").isNull(), 0).otherwise(changed))
-    return out.withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(joined)).drop("__found", "__new")
+    out = packed(docs, text=docs["text"], found=found).withColumn("new", F.transform("found", new))
+    joined = F.array_join(F.zip_with(F.split("text", pattern, -1), "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda z: z))
+    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(joined).alias("text")
+    others = [text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "n_pseudonyms"]
+    return out.select(*others, F.when(F.col("found").isNull(), 0).otherwise(changed).alias("n_pseudonyms"))
