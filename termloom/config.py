@@ -50,3 +50,8 @@ class QueryConfig:
 
     def run_name(self, index: str) -> str:
         return f"{index} {self.scoring} {self.k} {self.method} {self.search}"
+
+
+def rebuild_needed(old: IndexConfig, new: IndexConfig) -> bool:
+    """Whether stored terms or lists would differ; query options never need a build."""
+    return (old.stem, old.keep_stop, old.codec) != (new.stem, new.keep_stop, new.codec)

@@ -28,6 +28,16 @@ class Index:
     def average(self) -> float:
         return self.total_len / self.n_docs if self.n_docs else 0.0
 
+    def persist(self) -> Index:
+        """Keep the tables on the executors; Spark evicts what is least recently used."""
+        for df in (self.docs, self.postings, self.lexicon):
+            df.persist()
+        return self
+
+    def unpersist(self) -> None:
+        for df in (self.docs, self.postings, self.lexicon):
+            df.unpersist()
+
     def with_name(self, name: str) -> Index:
         return replace(self, config=replace(self.config, name=name))
 

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import IndexConfig, QueryConfig
+from ..functions.charts import distinct_color
 from ..functions.codec import coded, decode_list, decode_udf, encode_list, from_gaps, gamma, gaps, unary
 from ..functions.porter import stem_udf
 from ..functions.text import STOP_WORDS, clean
 from ..operators import index as ix
-from ..operators import lookup, merge, metrics
+from ..operators import evaluate, lookup, merge, metrics
 from ..operators.search import candidates, pruned_search, search, search_one, with_bounds
 from . import corpus
 
@@ -408,3 +409,27 @@ def pending_runs(spark, sf_dir):
     """The grid of configurations by topics, less what was evaluated before."""
     grid = topics(spark).select("qid", F.explode(F.array(*[F.lit(n) for n in NAMES])).alias("name"))
     return metrics.pending(grid, grid.where("name like '%TFIDF%' and qid <= 3")).select("name", "qid")
+
+
+@query()
+def grid_records(spark, sf_dir):
+    """Records of several configurations; each is held against its own oracle elsewhere, this is their union."""
+    built, asked, judged = corpus.index(spark, sf_dir), topics(spark), qrels(spark, sf_dir)
+    out = None
+    for config in evaluate.grid(scorings=("TFIDF", "BM25"), ks=(10,), searches=("ternary",)):
+        one = evaluate.evaluate(spark, built, asked, judged, config).select("name", "qid", "empty", F.round("map", 6).alias("map"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+HUE_SQL = "value - value * saturation * greatest(0::double, least(place, 4 - place, 1::double))"
+
+
+@query(
+    "with i as (select unnest(range(0, 60)) as i), p as (select i, (i % 12) / 12::double as hue, greatest(0.5::double, 0.9::double - 0.05::double * (i // 12)) as saturation, greatest(0.5::double, 0.9::double - 0.05::double * (i // 24)) as value from i), "
+    "c as (select i, n, saturation, value, (n + hue * 6) % 6 as place from p cross join (select unnest([5, 3, 1]) as n)) "
+    f"select i::bigint as i, round(max(case when n = 5 then {HUE_SQL} end), 6) as r, round(max(case when n = 3 then {HUE_SQL} end), 6) as g, round(max(case when n = 1 then {HUE_SQL} end), 6) as b from c group by i"
+)
+def chart_colors(spark, sf_dir):
+    out = spark.range(60).select(F.col("id").alias("i"), distinct_color(F.col("id")).alias("c"))
+    return out.select("i", *[F.round(F.col(f"c.{x}"), 6).alias(x) for x in "rgb"])

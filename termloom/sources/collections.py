@@ -14,7 +14,7 @@ def _split_valid(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(docid, docno, text) and the rejected (docid, line) of numbered lines (docid, line): a row is two non-empty
     fields apart by one tab, the first a whole number."""
     parts = F.split(F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")), "\t", -1)
-    number = F.try_to_number(F.get("parts", 0), F.lit("S999999999999999999")).cast("long") if False else F.expr("try_cast(parts[0] as bigint)")
+    number = F.expr("try_cast(parts[0] as bigint)")
     rows = lines.withColumn("parts", parts).withColumn("docno", F.when(F.size("parts") == 2, number)).withColumn("text", F.get("parts", 1))
     ok = F.col("docno").isNotNull() & (F.size("parts") == 2) & (F.coalesce(F.col("text"), F.lit("")) != "")
     return rows.where(ok).select("docid", "docno", "text"), rows.where(~ok).select("docid", "line")

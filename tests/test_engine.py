@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from termloom.catalog import Catalog
 from termloom.cli import main
-from termloom.config import IndexConfig, QueryConfig
+from termloom.config import IndexConfig, QueryConfig, rebuild_needed
+from termloom.functions.charts import heat_table
 from termloom.operators import index as ix
-from termloom.operators import lookup, merge, metrics
+from termloom.operators import evaluate, lookup, merge, metrics
 from termloom.operators.search import pruned_search, search, search_one, with_bounds
 from termloom.sources import collections
 from termloom.sources.pairs import read_pairs
@@ -197,3 +198,19 @@ def test_lookups(spark, toy):
     assert lookup.equal(toy.lexicon, "tok", "a").first()["df"] == 2
     arrays = spark.createDataFrame([([1, 4, 9],)], "d array<long>")
     assert [arrays.select(lookup.posting_next_geq(F.col("d"), x)).first()[0] for x in (0, 4, 5, 10)] == [1, 4, 9, None]
+
+
+def test_grid_is_resumed(spark, toy, tmp_path):
+    topics = spark.createDataFrame([(1, "a b"), (2, "zz")], "qid long, query string")
+    qrels = spark.createDataFrame([(1, 0, 2), (1, 2, 1), (2, 0, 1)], "qid long, docid long, rel int")
+    configs = evaluate.grid(scorings=("TFIDF", "BM15"), ks=(10,))
+    path = str(tmp_path / "results")
+    assert evaluate.evaluate_grid(spark, toy, topics.where("qid = 1"), qrels, configs[:3], path) == 3
+    assert evaluate.evaluate_grid(spark, toy, topics, qrels, configs, path) == 2 * 8 - 3
+    assert evaluate.evaluate_grid(spark, toy, topics, qrels, configs, path) == 0
+    got = spark.read.parquet(path)
+    assert got.count() == 16 and got.where("empty").select("qid").distinct().first()[0] == 2
+    assert got.where("qid = 1 and name like '%conjunctive%'").select("recip_rank").distinct().first()[0] == 1.0
+    assert heat_table(got, "map", [1, 2]).count() == 8
+    assert rebuild_needed(IndexConfig(), IndexConfig(stem=True)) and not rebuild_needed(IndexConfig("a"), IndexConfig("b"))
+    toy.persist().unpersist()
