@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +30,9 @@ def tokens(text: Column, keep_stop: bool = True) -> Column:
         return out
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     return F.filter(out, lambda t: ~F.array_contains(stop, t))
+
+
+def terms_of(text: str, keep_stop: bool = True) -> list[str]:
+    """tokens() of one short text on the driver, as a query is."""
+    out = re.sub("[^a-zA-Z0-9]+", " ", text).lower().strip(" ").split(" ")
+    return out if keep_stop else [t for t in out if t not in STOP_WORDS]
