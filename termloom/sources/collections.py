@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MEMBER = "collection.tsv"
@@ -21,11 +21,13 @@ def _split_valid(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def numbered(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
-    """(docid, line) of text or .gz files: docid is the line's ordinal, bad lines included. A positive limit ends the
-    scan after as many lines."""
-    lines = spark.read.text(path)
-    lines = lines.limit(limit) if limit > 0 else lines
-    return spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])), "docid long, line string")
+    """(docid, line) of text or .gz files: docid is the line's ordinal, bad lines included; a positive limit keeps the
+    first so many. Lines are counted by input split first; a split's own counter is the low part of Spark's row id."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.spark_partition_id().alias("split"), F.monotonically_increasing_id().alias("id"))
+    before = F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    starts = lines.groupBy("split").agg(F.count("*").alias("n")).select(F.col("split").alias("at"), F.coalesce(before, F.lit(0)).alias("start"))
+    out = lines.join(F.broadcast(starts), lines.split == starts["at"]).select((F.col("start") + F.col("id").bitwiseAND(F.lit(2**33 - 1))).alias("docid"), "line")
+    return out.where(F.col("docid") < limit) if limit > 0 else out
 
 
 def archived(spark: SparkSession, path: str, limit: int = -1, member: str = MEMBER) -> DataFrame:

@@ -130,6 +130,16 @@ def test_sources(spark, tmp_path):
         assert sorted((r["docid"], r["docno"]) for r in rows.collect()) == [(0, 0), (1, 1), (4, 4)], name
         assert sorted(r["docid"] for r in bad.collect()) == [2, 3]
         assert collections.read_collection(spark, str(tmp_path / name), 2)[0].count() == 2
+    (tmp_path / "many").mkdir()
+    for i in range(3):
+        (tmp_path / "many" / f"{i}.tsv").write_text("".join(f"{i * 1000 + j}\tt{j}\n" for j in range(1000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        many = collections.read_collection(spark, str(tmp_path / "many"))[0]
+        got = sorted((r["docid"], r["docno"]) for r in many.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [d for d, _ in got] == list(range(3000)) and {n for _, n in got} == set(range(3000))
     rows = collections.read_collection(spark, str(tmp_path / "c.tsv"))[0]
     assert collections.fetch(rows, 1).first()["text"] == "second doc" and collections.fetch(rows, 1, 5).count() == 2
     dup = spark.createDataFrame([(3, 7, "late"), (1, 7, "early")], "docid long, docno long, text string")
