@@ -128,7 +128,7 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
     return float((1 / (above[last] / u + below / v)).sum())
 
 
-def runs(texts, bound: int = 1 << 21):
+def runs(texts, bound: int = 1 << 20):
     """Slices of a column of texts of at most about `bound` bytes together."""
     import pyarrow.compute as pc
 
@@ -320,7 +320,12 @@ def _linked(cut: Cut, placed: DataFrame, features: DataFrame, threshold: float,
     """(a, b): links between classes within buckets (bucket, node, class, lo). Buckets with one smallest class are one
     group if that holds at most `block` texts, else a group each."""
     groups = placed.select("lo", "node").distinct().groupBy("lo").agg(F.count("*").alias("texts"))
-    keyed = placed.join(groups, "lo").withColumn("group", F.when(F.col("texts") <= block, F.col("lo")).otherwise(F.concat("lo", F.col("bucket").cast("string").cast("binary"))))
+    large = cut(groups.where(F.col("texts") > block).select("lo", F.lit(True).alias("large")))
+    if (n := large.count()) == 0:
+        keyed = placed.withColumn("group", F.col("lo"))
+    else:
+        keyed = placed.join(F.broadcast(large) if n < 100_000 else large, "lo", "left")
+        keyed = keyed.withColumn("group", F.when(F.col("large"), F.concat("lo", F.col("bucket").cast("string").cast("binary"))).otherwise(F.col("lo")))
     keyed = cut(keyed.select("group", "node", "class").distinct())
     full = keyed.join(features, "node").select("group", "node", "class", "hashes", "weights")
 
