@@ -277,7 +277,7 @@ def dc_values(images: list[Image]) -> list[np.ndarray]:
     return np.split(out, ends[:-1])
 
 
-def _dc_by_group(images: list[Image], bound: int = 1 << 22) -> Iterator[np.ndarray]:
+def _dc_by_group(images: list[Image], bound: int = 1 << 21) -> Iterator[np.ndarray]:
     """dc_values of runs of images with equal tables, up to `bound` bytes at a time."""
     i = 0
     while i < len(images):
@@ -349,7 +349,7 @@ def _record(doc, n: int, stream: bytes, feature) -> tuple:
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
 
 
-def media(docs: DataFrame, chunk: int = 1 << 21) -> DataFrame:
+def media(docs: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     """SCHEMA for each row of docs(doc_id, text): the text's UTF-8 bytes, zeros added up to a positive multiple of 64,
     are stored as a JPEG of one byte a block, which is parsed and decoded again; all values but n_bytes come from the
     stored form. Texts are coded together up to `chunk` bytes.
