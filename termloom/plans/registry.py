@@ -183,10 +183,11 @@ def last_term(spark, sf_dir):
     return lookup.last_row(corpus.index(spark, sf_dir).lexicon, "tok").select("tok", "df")
 
 
-@query(f"with {DOCS} select doc_id, len from docs where doc_id % 7 = 3 and len > 0")
+@query(f"with {DOCS} select doc_id, len from docs where doc_id in (select doc_id from labels) and len > 0")
 def length_lookup(spark, sf_dir):
-    docs = corpus.index(spark, sf_dir).docs
-    return lookup.document_lengths(docs, docs.where("docid % 7 = 3").select("docid")).withColumnRenamed("docid", "doc_id")
+    """Lengths of the labelled documents."""
+    wanted = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("docid"))
+    return lookup.document_lengths(corpus.index(spark, sf_dir).docs, wanted).withColumnRenamed("docid", "doc_id")
 
 
 @query(f"with {POSTINGS} select tok, min(doc_id)::bigint as doc_id from post where doc_id >= 500 group by tok")
@@ -313,14 +314,19 @@ def pruned_bm25_topk(spark, sf_dir):
 
 
 # ---- ranges and partitions ----
-@query("with v as (select distinct doc_id as v from documents where doc_id % 10 <> 4 and text <> ''), g as (select v, v - row_number() over (order by v) as island from v) select min(v)::bigint as lo, max(v)::bigint as hi from g group by island")
+def _labelled(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("docno"))
+
+
+@query("with v as (select distinct doc_id as v from labels), g as (select v, v - row_number() over (order by v) as island from v) select min(v)::bigint as lo, max(v)::bigint as hi from g group by island")
 def content_ranges(spark, sf_dir):
-    return ix.content_ranges(corpus.rows(spark, sf_dir).where("docno % 10 <> 4"))
+    """Of the labelled documents, which leave gaps."""
+    return ix.content_ranges(_labelled(spark, sf_dir))
 
 
-@query("select doc_id as docno from documents where doc_id % 10 = 4 and text <> '' and doc_id < (select max(doc_id) from documents where doc_id % 10 <> 4)")
+@query("select i as docno from (select unnest(range(0, (select max(doc_id) + 1 from labels))) as i) where i not in (select doc_id from labels)")
 def missing_ids(spark, sf_dir):
-    return ix.missing_ids(corpus.rows(spark, sf_dir).where("docno % 10 <> 4").select("docno"), spark)
+    return ix.missing_ids(_labelled(spark, sf_dir), spark)
 
 
 @query(f"with {DOCS} select tok, df, cf from lex")
@@ -338,7 +344,7 @@ def partition_renumber(spark, sf_dir):
 def partition_repair(spark, sf_dir):
     rows = corpus.rows(spark, sf_dir).select("docid", "docno", "text")
     last = int(rows.agg(F.max("docno")).first()[0])
-    return merge.repaired(spark, rows.where("docno % 10 <> 4"), rows, last).select("docno", F.md5("text").alias("text_md5"))
+    return merge.repaired(spark, rows.join(_labelled(spark, sf_dir), "docno", "left_semi"), rows, last).select("docno", F.md5("text").alias("text_md5"))
 
 
 # ---- evaluation ----
