@@ -123,32 +123,76 @@ def _runs(length: int, k: int):
     return run
 
 
+CONTEXTS = "doc_id long, key long, anchor long, place long, shape int, n int, bytes binary, print long"
+#: Base of the second hash of single strings.
+SECOND_P = 0xC2B2AE3D27D4EB4F
+SECOND_Q = pow(SECOND_P, -1, 1 << 64)
+
+
+def single_strings(parts: list[bytes], counts: np.ndarray, shifts: np.ndarray, grams: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """For each string of each part: its part, its start there, and two hashes of its bytes and its place at the anchor."""
+    data = np.frombuffer(b"".join(parts), np.uint8).astype(U64) + U64(1)
+    begin = np.cumsum([0, *(len(p) for p in parts)])[:-1]
+    owner = np.repeat(np.arange(len(parts)), counts)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = begin[owner] + at
+    out = []
+    for p, q in ((BYTE_P, BYTE_Q), (SECOND_P, SECOND_Q)):
+        total = np.zeros(len(data) + 1, U64)
+        np.cumsum(data * powers(p, len(data)), out=total[1:])
+        out.append(mix((total[start + length] - total[start]) * powers(q, len(data))[start]))
+    place = mix(grams[owner] + (shifts[owner] - at).astype(U64))
+    return owner, at, mix(out[0] ^ place), mix(out[1] + place)
+
+
 def _contexts(length: int):
-    """The bytes of each wanted run of a text."""
+    """Of each wanted run of a text, its bytes; or, if its anchor has many runs, two hashes of each of its strings, of
+    which those met twice in a batch are known to repeat (anchor null), one going on to stand for them."""
 
     def run(batches):
         import pyarrow as pa
 
+        def table(cols: list):
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in CONTEXTS.split(", ")])
+
+        def strings(many: list[tuple]):
+            shape = np.array([w[3] for w in many])
+            owner, at, one, two = single_strings([w[5] for w in many], shape % 1024, shape // 1024, np.array([w[2] for w in many], np.int64).view(U64), length)
+            order = np.lexsort((two, one))
+            first = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
+            met = np.bincount(np.cumsum(first) - 1)
+            keep = order[first]
+            pick = np.concatenate([keep, order[np.repeat(met > 1, met)]])
+            null = np.arange(len(pick)) >= len(keep)
+            n = np.concatenate([np.maximum(met, np.array([w[4] for w in many])[owner[keep]]), np.full(len(pick) - len(keep), 2)])
+            docs, keys, places = (np.array([w[i] for w in many], np.int64)[owner[pick]] for i in (0, 1, 6))
+            nothing = np.ones(len(pick), bool)
+            return table([pa.array(docs), pa.array(keys), pa.array(one[pick].view(np.int64), mask=null), pa.array(places + at[pick]), pa.array(np.zeros(len(pick), np.int32), mask=nothing), pa.array(np.minimum(n, 2).astype(np.int32)), pa.nulls(len(pick), pa.binary()), pa.array(two[pick].view(np.int64), mask=null)])
+
         for batch in batches:
             out: list[tuple] = []
+            many: list[tuple] = []
             raws = batch.column(2).cast(pa.binary())
             for i in range(len(batch)):
                 raw = raws[i].as_py()
                 doc, key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 for w in batch.column(3)[i].as_py():
-                    count = w["shape"] % 1024
-                    out.append((doc, key, w["anchor"], w["place"], w["shape"], w["n"], raw[w["place"] : w["place"] + count + length - 1]))
-                    if len(out) >= 20_000:
-                        yield _batch(out)
-                        out = []
+                    part = raw[w["place"] : w["place"] + w["shape"] % 1024 + length - 1]
+                    if w["many"]:
+                        many.append((doc, key, w["anchor"], w["shape"], w["n"], part, w["place"]))
+                    else:
+                        out.append((doc, key, w["anchor"], w["place"], w["shape"], w["n"], part, None))
+                if len(out) >= 20_000:
+                    yield table(list(zip(*out, strict=True)))
+                    out = []
+                if len(many) >= 4_000:
+                    yield strings(many)
+                    many = []
             if out:
-                yield _batch(out)
-
-    def _batch(rows: list[tuple]):
-        import pyarrow as pa
-
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "key", "anchor", "place", "shape", "n", "bytes"])
+                yield table(list(zip(*out, strict=True)))
+            if many:
+                yield strings(many)
 
     return run
 
@@ -250,8 +294,11 @@ def _result(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
 
 
-def spans(spark: SparkSession, docs: DataFrame, cut: Cut, length: int = 200, k: int = 64, shard: int = 3 << 19) -> tuple[DataFrame, DataFrame]:
-    """(docs as doc_id, key, text), and (doc_id, key, gone), the removed [start, end) byte ranges of each text that has some."""
+def spans(spark: SparkSession, docs: DataFrame, cut: Cut, length: int = 200, k: int = 64, shard: int = 3 << 19, group: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(docs as doc_id, key, text), and (doc_id, key, gone), the removed [start, end) byte ranges of each text that has some.
+
+    An anchor of up to `group` different runs, about one shard of bytes, is settled by suffix order in one task. The strings of
+    one that has more are counted by two 64-bit hashes each, in part before the shuffle, so no task gathers its runs."""
     # The key tells apart texts of one doc_id; where ids are unique it is 0 and costs nothing.
     ids = docs.groupBy(docs["doc_id"]).agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     key = F.lit(0).cast("long") if ids.isEmpty() else F.xxhash64(docs["text"])
@@ -262,13 +309,20 @@ def spans(spark: SparkSession, docs: DataFrame, cut: Cut, length: int = 200, k:
     same = Window.partitionBy("anchor", "print")
     held = runs.where("anchor is not null").withColumn("copies", F.sum("n").over(same)).withColumn("first", F.row_number().over(same.orderBy("doc_id", "key", "place")))
     held = held.withColumn("lo", F.min("print").over(by)).withColumn("hi", F.max("print").over(by))
-    held = cut(held.where("copies > 1 or lo <> hi").select("doc_id", "key", "anchor", "place", "shape", "copies", "first", (F.col("lo") != F.col("hi")).alias("several")))
+    held = held.withColumn("runs", F.sum(F.when(F.col("first") == 1, 1).otherwise(0)).over(by)).where("copies > 1 or lo <> hi")
+    held = cut(held.select("doc_id", "key", "anchor", "place", "shape", "copies", "first", (F.col("lo") != F.col("hi")).alias("several"), (F.col("runs") > group).alias("many")))
     whole = held.where("copies > 1").select("doc_id", "key", F.col("place").alias("start"), (F.col("place") + F.col("shape") % 1024 + length - 1).alias("end"))
-    wanted = held.where("several and first = 1").groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "place", "shape", F.least(F.col("copies"), F.lit(2)).cast("int").alias("n"))).alias("wanted"))
+    wanted = held.where("several and first = 1").groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "place", "shape", F.least(F.col("copies"), F.lit(2)).cast("int").alias("n"), "many")).alias("wanted"))
     contexts = base.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]) if not ids.isEmpty() else base.join(wanted, ["doc_id", "key"])
-    contexts = contexts.select("doc_id", "key", "text", "wanted").mapInArrow(_contexts(length), "doc_id long, key long, anchor long, place long, shape int, n int, bytes binary")
-    found = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_shards(length, shard), "doc_id long, key long, start long, end long")
-    every = known.union(whole).union(cut(found))
+    contexts = cut(contexts.select("doc_id", "key", "text", "wanted").mapInArrow(_contexts(length), CONTEXTS))
+    parts = contexts.where("bytes is not null").select("doc_id", "key", "anchor", "place", "shape", "n", "bytes")
+    found = parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_shards(length, shard), "doc_id long, key long, start long, end long")
+    # Of anchors with many runs, strings are told apart by their hashes: counted in part before the shuffle.
+    strings = contexts.where("bytes is null and anchor is not null").select("doc_id", "key", "anchor", "print", "place", "n")
+    repeated = strings.groupBy("anchor", "print").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "print")
+    single = strings.join(repeated, ["anchor", "print"]).union(contexts.where("bytes is null and anchor is null").select("anchor", "print", "doc_id", "key", "place", "n"))
+    single = single.select("doc_id", "key", F.col("place").alias("start"), (F.col("place") + length).alias("end"))
+    every = known.union(whole).union(cut(found)).union(single)
     return base, every.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
 
 

@@ -314,9 +314,9 @@ def test_repeats_equal_brute_force(spark, alphabet, monkeypatch):
     rows = [(i, letters(r.randint(0, 50)) + "".join(r.choice(shared) + letters(r.randint(0, 5)) for _ in range(r.randint(0, 4)))) for i in range(60)]
     rows += [(70, letters(1) * 500), (71, None), (72, ""), (73, shared[4]), (73, shared[4]), (None, shared[3] + "é" * 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for piece in (repeats.PIECE, 64):
+    for piece, group in ((repeats.PIECE, 4096), (64, 4096), (repeats.PIECE, 2)):
         monkeypatch.setattr(repeats, "PIECE", piece)
-        got = repeats.remove(spark, df, length=30, k=12, shard=500).collect()
+        got = repeats.remove(spark, df, length=30, k=12, shard=500, group=group).collect()
         want = Counter((d, *x) for (d, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows], 30), strict=True))
         assert Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got) == want
 
