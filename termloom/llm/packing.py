@@ -183,7 +183,7 @@ def pack(
     capacity: int = 1024,
     tokenizer: str | None = None,
     groups: tuple[int, ...] = (16, 24),
-    rows_per_bucket: int = 2_000,
+    rows_per_bucket: int = 500,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of docs(doc_id, text).
 
