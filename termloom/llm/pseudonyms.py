@@ -26,7 +26,7 @@ PATTERNS = {
     "ip": EDGE + rf"{OCTET}(?:\.{OCTET}){{3}}" + END,
     "date": EDGE + r"(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])" + END,
     "ssn": EDGE + r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}" + END,
-    "phone": r"(?<![\p{L}0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}" + END,
+    "phone": r"(?<![\p{L}0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + END,
     "card": EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + END,
 }
 
@@ -135,11 +135,16 @@ def _card(x: Column, key: str) -> Column:
 
 
 def _phone(x: Column, key: str) -> Column:
-    """The last ten digits; area code and exchange keep starting with 2 to 9."""
-    least = F.array(*[F.lit(2 if i in (0, 3) else 0).cast("long") for i in range(10)])
-    radices = F.array(*[F.lit(8 if i in (0, 3) else 10).cast("long") for i in range(10)])
-    new = feistel(F.zip_with(F.slice(_digits(x), -10, 10), least, lambda d, a: d - a), radices, key, F.lit("phone"))
-    return _refill(_chars(x), F.slice(_places(_chars(x), "[0-9]"), -10, 10), F.zip_with(new, least, lambda d, a: d + a).cast("array<string>"))
+    """The last ten digits. Area code and exchange starting with 2 to 9 keep doing so, those starting with 0 or 1 as
+    well: each of the four classes is permuted within itself."""
+
+    def new(d: Column) -> Column:
+        least = F.transform(d, lambda v, i: F.when(i.isin(0, 3) & (v >= 2), 2).otherwise(0).cast("long"))
+        radices = F.transform(d, lambda v, i: F.when(~i.isin(0, 3), 10).when(v >= 2, 8).otherwise(2).cast("long"))
+        moved = feistel(F.zip_with(d, least, lambda v, a: v - a), radices, key, F.lit("phone"))
+        return F.zip_with(moved, least, lambda v, a: v + a).cast("array<string>")
+
+    return _refill(_chars(x), F.slice(_places(_chars(x), "[0-9]"), -10, 10), let(F.slice(_digits(x), -10, 10), new))
 
 
 def _ip(x: Column, key: str) -> Column:
@@ -187,7 +192,7 @@ def pseudonymize(docs: DataFrame, key: str = "demo-key", kinds: tuple[str, ...]
     """docs with its text's personal data replaced, and n_pseudonyms, the number of replaced values.
 
     Where several kinds would match at one place, the first in the order given takes it. Values that fail their kind's
-    check (Luhn's sum, mod 97, a calendar day, octets, area codes) stay as they are.
+    check (Luhn's sum, mod 97, a calendar day, octets, areas of SSNs) stay as they are.
 
     Null text stays null with count 0; empty and clean texts are unchanged; rows are independent, so equal rows get
     equal results and an empty table gives an empty one; extra columns are kept (a column n_pseudonyms is replaced).
