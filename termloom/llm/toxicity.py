@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .neardup import shingles
 from .sampling import held_out, labelled, logistic
 
 # Common English insults.
@@ -32,21 +31,56 @@ def terms(text: str) -> set[str]:
     return out
 
 
-def lexicons(texts: list[set[str]], labels: np.ndarray, size: int, support: int) -> list[str]:
+def originals(texts: list[str], threshold: float = 0.8, size: int = 5, block: int = 200) -> list[int]:
+    """Indices of the texts that are no copy of an earlier one of them. A copy has a Jaccard similarity of at least
+    `threshold` by its sets of five-word shingles (a text of fewer words is one shingle; one without words must be equal).
+
+    Sets this similar share one of their rarest 1 - threshold shingles, so only those propose pairs; none is missed."""
+    sets = []
+    for i in range(0, len(texts), block):
+        part = texts[i : i + block]
+        who, h, *_ = shingles(part, size)
+        sets += np.split(h, np.searchsorted(who, np.arange(1, len(part))))
+    every, n = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
+    every, n = every[n > 1], n[n > 1]
+    kept, bare, holders = [], set(), {}
+    for i, a in enumerate(sets):
+        if not len(a):
+            if texts[i] not in bare:
+                bare.add(texts[i])
+                kept.append(i)
+            continue
+        place = np.searchsorted(every, a)
+        place = place[(place < len(every)) & (every[np.minimum(place, len(every) - 1)] == a)] if len(every) else place[:0]
+        least = int(np.ceil(threshold * len(a) - 1e-9))
+        # Shingles of this text alone are rarer than all others.
+        rare = max(0, len(a) - least + 1 - (len(a) - len(place)))
+        rare = every[place[np.lexsort((place, n[place]))[:rare]]].tolist()
+        near = {j for x in rare for j in holders.get(x, ()) if least <= len(sets[j]) and len(sets[j]) * threshold <= len(a) + 1e-9}
+        if any((c := len(np.intersect1d(a, sets[j], assume_unique=True))) >= threshold * (len(a) + len(sets[j]) - c) - 1e-9 for j in near):
+            continue
+        kept.append(i)
+        for x in rare:
+            holders.setdefault(x, []).append(i)
+    return kept
+
+
+def lexicons(docs: list[np.ndarray], names: list[str], labels: np.ndarray, size: int, support: int) -> list[str]:
     """Terms that toxic training documents have and others hardly ever, by log-odds times root of support. Half of the
-    documents propose terms and the other half confirms them, both ways, so that chance finds drop out."""
-    counts = [(Counter(), Counter()), (Counter(), Counter())]
-    for i, (t, y) in enumerate(zip(texts, labels, strict=True)):
-        counts[i % 2][int(y)].update(t)
+    documents propose terms and the other half confirms them, both ways, so that chance finds drop out. Documents are
+    the indices of their terms in names."""
+    counts = np.zeros((2, 2, len(names)), np.int64)
+    for i, (ids, y) in enumerate(zip(docs, labels, strict=True)):
+        counts[i % 2, int(y), ids] += 1
     n_pos, n_neg = max(1, int(labels.sum())), max(1, int(len(labels) - labels.sum()))
-    scored, tally = [], {}
-    for t in counts[0][1].keys() & counts[1][1].keys():
-        (neg_a, pos_a), (neg_b, pos_b) = ((c[0][t], c[1][t]) for c in counts)
-        n, neg = pos_a + pos_b, neg_a + neg_b
+    scored, tally, number = [], {}, {}
+    (neg_a, pos_a), (neg_b, pos_b) = counts
+    for k in np.flatnonzero((pos_a > 4 * neg_a) & (pos_b > 4 * neg_b) & (pos_a + pos_b >= support)).tolist():
+        n, neg, t = int(pos_a[k] + pos_b[k]), int(neg_a[k] + neg_b[k]), names[k]
         odds = np.log((n + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
-        if n >= support and pos_a > 4 * neg_a and pos_b > 4 * neg_b and odds > 3:
+        if odds > 3:
             scored.append((-odds * np.sqrt(n), len(t), t))
-            tally[t] = (n, neg)
+            tally[t], number[t] = (n, neg), k
     # A beginning gives way to a longer term that has nearly all of its toxic documents and fewer others.
     for _, _, t in list(scored):
         longer = [x for x in tally if x != t and t.endswith("*") and x.startswith(t[:-1]) and tally[x][0] > 0.8 * tally[t][0] and tally[x][1] < tally[t][1]]
@@ -54,9 +88,11 @@ def lexicons(texts: list[set[str]], labels: np.ndarray, size: int, support: int)
             scored = [z for z in scored if z[2] != t]
     scored = sorted(scored)[: 4 * size]
     where: dict[str, list[int]] = {t: [] for *_, t in scored}
-    for i, t in enumerate(texts):
-        for x in t & where.keys():
-            where[x].append(i)
+    wanted = np.zeros(len(names), bool)
+    wanted[[number[t] for t in where]] = True
+    for i, ids in enumerate(docs):
+        for k in ids[wanted[ids]].tolist():
+            where[names[k]].append(i)
     # Of terms that occur in the same documents, one is enough.
     out = {tuple(where[t]): t for *_, t in reversed(scored)}
     return [t for *_, t in scored if out[tuple(where[t])] == t][:size]
@@ -129,21 +165,21 @@ class Model:
     lexicon: list[str]
     weights: np.ndarray
     bias: float
+    #: Rows learnt from: the sample less its copies.
+    learnt: int = 0
 
     @classmethod
     def train(cls, texts: list[str], labels: np.ndarray, size: int, support: int, steps: int = 400) -> Model:
-        # Copies of one text would confirm each other's rare words: of texts with the same least or greatest hash of
-        # their long words, one is learnt from.
-        found, kept, one = [], {}, {}
-        for i, t in enumerate(texts):
-            x = {one.setdefault(w, w) for w in terms(t)}
-            hashes = [zlib.crc32(w.encode()) for w in x if len(w) > 8] or [zlib.crc32(t.encode())]
-            kept.setdefault(min(hashes), i)
-            if kept[min(hashes)] == i and kept.setdefault(-1 - max(hashes), i) == i:
-                found.append((i, x))
-        texts, labels, found = [texts[i] for i, _ in found], np.asarray(labels)[[i for i, _ in found]], [x for _, x in found]
-        lexicon = lexicons(found, labels, size, support)
-        v = votes(found, texts, lexicon)
+        # Copies of one text would confirm each other's rare words.
+        kept = originals(texts)
+        texts, labels = [texts[i] for i in kept], np.asarray(labels)[kept]
+        number: dict[str, int] = {}
+        docs = [np.array([number.setdefault(w, len(number)) for w in terms(t)], np.int32) for t in texts]
+        names = list(number)
+        lexicon = lexicons(docs, names, labels, size, support)
+        used = np.zeros(len(names), bool)
+        used[[number[t] for t in (*lexicon, *INSULTS) if t in number]] = True
+        v = votes([{names[k] for k in ids[used[ids]].tolist()} for ids in docs], texts, lexicon)
         soft = LabelModel.fit(v, float(np.clip(labels.mean() if len(labels) else 0.1, 0.01, 0.99))).posterior(v) if len(v) else np.zeros(0)
         x = v.astype(np.float64)
         w, b, mw, vw = np.zeros(x.shape[1]), -2.0, np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
@@ -153,7 +189,7 @@ class Model:
             mw, vw = 0.9 * mw + 0.1 * grad, 0.999 * vw + 0.001 * grad**2
             move = 0.1 * (mw / (1 - 0.9**step)) / (np.sqrt(vw / (1 - 0.999**step)) + 1e-8)
             w, b = w - move[:-1], b - move[-1]
-        return cls(lexicon, w, float(b))
+        return cls(lexicon, w, float(b), len(texts))
 
     def score(self, texts: list[str]) -> np.ndarray:
         return logistic(votes([terms(t) for t in texts], texts, self.lexicon).astype(np.float64) @ self.weights + self.bias)
