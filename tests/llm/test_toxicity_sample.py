@@ -38,3 +38,10 @@ def test_copies_equal_brute_force():
         if not any(len(a & sets[j]) >= 0.8 * len(a | sets[j]) for j in want):
             want.append(i)
     assert 12 < len(want) < 40 and toxicity.originals(texts) == want
+
+
+def test_8000_rows_are_learnt_from(spark):
+    rows = [(i, prose(i, 12), i % 2) for i in range(11_500)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels).learnt == 8000
