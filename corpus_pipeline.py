@@ -3,7 +3,7 @@
 Stages but the last return the columns of documents, for the rows and texts that they keep:
 
 - toxicity: documents with a score of 0.3 or more go. The classifier learns from labels outside the held-out fold.
-- line_dedup: repeated multi-line chunks leave all texts but the first; a document of which nothing but white space
+- line_dedup: repeated runs of two or more lines, of 80 characters or more, leave all texts but the first; a document of which nothing but white space
   is left goes, and n_chars follows the text.
 - near_dedup: one document of each class of near-duplicates stays, the one with the smallest doc_id.
 - mixing: a document comes as often as the mix takes it, up to three times; n_chars and all other columns are kept.
@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_chunks.deduplicate(spark, docs).where("n_removed = 0 or text rlike '[^ \\\\t\\\\r\\\\n]'")
+    out = line_chunks.remove_repeats(spark, docs).where("n_removed = 0 or text rlike '[^ \\\\t\\\\r\\\\n]'")
     changed = F.col("n_removed") > 0
     new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*[new[c].alias(c) if new.get(c) is not None else F.col(f"row.{c}").alias(c) for c in docs.columns])

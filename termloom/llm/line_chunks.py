@@ -77,6 +77,64 @@ def deduplicate(
     )
 
 
+def _windows(lines: Column, min_lines: int, min_chars: int) -> Column:
+    """(s, e, print) of the shortest run of at least min_lines lines and min_chars characters from each line on, and of
+    the shortest up to each line. Any longer run is covered by those inside it."""
+
+    def shortest(sizes: Column, i: Column, step: int) -> Column:
+        """The number of lines from line i on (step 1) or backwards (step -1); null where the text is too short."""
+        n = F.size(sizes)
+        reach = max(min_lines, min_chars + 1) - 1  # a line adds a character at least
+        last = F.least(i + reach, n - 1) if step > 0 else F.greatest(i - reach, F.lit(0))
+
+        def add(a: Column, k: Column) -> Column:
+            chars, count = a.chars + F.get(sizes, k) + 1, a.n + 1
+            more = F.struct(chars.alias("chars"), count.alias("n"), ((count >= min_lines) & (chars >= min_chars)).alias("full"))
+            return F.when(a.full, a).otherwise(more)
+
+        def over(end: Column) -> Column:
+            return F.aggregate(F.sequence(i, end, F.lit(step)), F.struct(F.lit(-1).alias("chars"), F.lit(0).alias("n"), F.lit(False).alias("full")), add, lambda a: F.when(a.full, a.n))
+
+        near = F.least(i + min_lines - 1, n - 1) if step > 0 else F.greatest(i - min_lines + 1, F.lit(0))
+        return F.coalesce(over(near), over(last))
+
+    place = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+
+    def both(sizes: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(sizes) - 1)
+        onward = F.transform(every, lambda i: place(i, i + shortest(sizes, i, 1)))
+        back = F.transform(every, lambda i: place(i + 1 - shortest(sizes, i, -1), i + 1))
+        return F.flatten(F.transform(F.array(onward), lambda o: F.concat(o, F.filter(back, lambda b: b.s.isNotNull() & ~F.get(o, b.s).e.eqNullSafe(b.e)))))
+
+    found = F.flatten(F.transform(F.array(F.transform(lines, lambda x: F.length(x))), both))
+    run = lambda c: F.array_join(F.slice(lines, c.s + 1, c.e - c.s), "\n")
+    return F.transform(F.filter(found, lambda c: c.e.isNotNull()), lambda c: F.struct(c.s.alias("s"), c.e.alias("e"), F.unhex(F.sha2(run(c), 256)).alias("print")))
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, min_lines: int = 2, min_chars: int = 80) -> DataFrame:
+    """(row, text, n_lines, n_removed) as deduplicate gives, without any repeated run of lines, wherever it stands.
+
+    A line goes if it lies in a run of at least min_lines lines and min_chars characters that stands at an earlier
+    place too (by doc_id, hash of the text, line), not overlapping it; so the first place of every line stays. Runs
+    are equal by their SHA-256. Odd rows are treated as by deduplicate; rows equal in doc_id alone are different documents.
+    """
+    keyed = packed(docs, doc_id=F.coalesce(docs["doc_id"], F.lit(-(2**63) + 1)), text=docs["text"], key=F.xxhash64(docs["text"]))
+    lines = keyed.where("text is not null").select("doc_id", "key", F.split("text", "\n", -1).alias("all"))
+    windows = Cut(spark)(lines.select("doc_id", "key", F.inline(_windows(F.col("all"), min_lines, min_chars))))
+    place = F.struct("doc_id", "key", "s")
+    repeated = windows.groupBy("print").agg(F.min(place).alias("at"), F.max(place).alias("last")).where("at <> last").select("print", "at")
+    places = windows.join(repeated, "print").where("doc_id <> at.doc_id or key <> at.key or s - at.s >= e - s")
+    removed = places.groupBy("doc_id", "key").agg(F.flatten(F.collect_set(F.sequence("s", F.col("e") - 1))).alias("gone"))
+    found = keyed.join(removed, ["doc_id", "key"], "left").withColumn("all", F.split("text", "\n", -1))
+    found = found.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("all") - 1), "gone"))
+    return found.select(
+        "row",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.get("all", i)), "\n")).alias("text"),
+        F.coalesce(F.size("all"), F.lit(0)).alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("all") - F.size("kept")).alias("n_removed"),
+    )
+
+
 ORACLE = r"""
 with l as (select doc_id, text, string_split(text, chr(10)) as ls from documents where text is not null),
 h as (select doc_id, text, ls, [('0x' || substr(md5(x), 1, 7))::bigint for x in ls] as hs from l),
