@@ -160,11 +160,12 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
     def cut_up(batches):
         import pyarrow as pa
 
-        ids_of = encoder(tokenizer).ids
+        coder = encoder(tokenizer)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*ids_of(text.as_py() or ""), END], dtype="<u4")
+            texts = (t.as_py() or "" for t in batch.column(1))
+            for doc, found in zip(batch.column(0).to_pylist(), coder.encode(texts), strict=True):
+                ids = np.append(found, np.array([END], "<u4"))
                 first = (len(ids) - 1) % capacity + 1
                 for k, end in enumerate(range(first, len(ids) + 1, capacity)):
                     at = max(0, end - capacity)
@@ -184,6 +185,7 @@ def pack(
     tokenizer: str | None = None,
     groups: tuple[int, ...] = (16, 24),
     rows_per_bucket: int = 500,
+    buckets_per_run: int = 500,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of docs(doc_id, text).
 
@@ -201,9 +203,12 @@ def pack(
     plan = best_plan(counts, capacity, groups)
     buckets = max(1, -(-max(counts.values(), default=1) // rows_per_bucket))
     made = made.withColumn("bucket", F.col("salt") % buckets)
-    sums = made.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("length").alias("len_"), F.col("bucket").alias("bucket_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Prefix sums in two levels: of the buckets within runs of buckets, and of the runs, so no task has one length's all.
+    sums = cut(made.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("run", F.floor(F.col("bucket") / buckets_per_run)))
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sums.groupBy("length", "run").agg(F.sum("n").alias("n")).select("length", "run", before("length", "run").alias("base"))
+    sums = sums.withColumn("more", before("length", "run", "bucket")).join(bases, ["length", "run"])
+    sums = sums.select(F.col("length").alias("len_"), F.col("bucket").alias("bucket_"), (F.col("base") + F.col("more")).alias("base"))
     inner = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = made.withColumn("at", F.row_number().over(inner) - 1)
     ranked = ranked.join(sums, (ranked.length == sums.len_) & (ranked.bucket == sums.bucket_)).withColumn("rank", F.col("base") + F.col("at"))

@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterable, Iterator
 
-#: Texts within these code points go through the faster of the two libraries; tests/llm compare both there.
-FAST_BELOW = 0x530
+import numpy as np
+
+# White space by every definition of it, and all that some definition counts as white space.
+SPACE = " \t\n\r\x0b\x0c"
+DOUBTFUL = "\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿"
+#: White space and what follows it up to the next. No pre-token of the byte-level rule goes from a character that is
+#: no white space on into one that is, so the ids of a text are those of its words, one after another.
+WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+(?:(?<=[{DOUBTFUL}])[{SPACE}]+[^{SPACE}]*)*|[{SPACE}]+")
 
 
 def default_path() -> str:
@@ -14,35 +22,80 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def words(text: str, span: int) -> Iterator[list[str]]:
+    """All words of a text in order, a list for each `span` characters or so."""
+    at, n, wide = 0, len(text), span
+    while at < n:
+        found = WORD.findall(text, at, at + wide)
+        if at + wide < n:
+            found.pop()  # it may go on
+        if not found:
+            wide *= 2
+            continue
+        yield found
+        at, wide = at + sum(map(len, found)), span
+
+
 class Encoder:
-    """ids(texts) as tokenizers gives them for the file at path, special tokens' strings being ordinary text.
+    """Ids as `tokenizers` gives them for the file at path, special tokens' strings being ordinary text.
 
-    If tiktoken's form of the vocabulary lies beside it, texts of scripts for which both libraries split alike are
-    encoded by that, several times faster; all others, and all without it, by tokenizers.
-    """
+    Each distinct word of a run of texts goes through the tokenizer once; up to `keep` words of up to 64 characters are
+    remembered by a worker. Memory is bounded by a run of texts, by the longest word and by a text's ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = 300_000, span: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        self.fast = None
-        ranks_path = path.removesuffix(".json") + ".tiktoken"
-        if os.path.exists(ranks_path):
-            import base64
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
+        self.keep, self.span = keep, span
+
+    def _look(self, lists: list[list[str]]) -> dict[str, bytes]:
+        missing = list({w for x in lists for w in x}.difference(self.known))
+        coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, coded, strict=True)}
+        if len(self.known) < self.keep:
+            self.known.update((w, b) for w, b in new.items() if len(w) <= 64)
+        return _Two(new, self.known)
+
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        lists: list[list[str]] = []
+        held = 0
+        for t in texts:
+            if len(t) > self.span:
+                yield from self._joined(lists)
+                lists, held = [], 0
+                yield np.frombuffer(b"".join(self._bytes([x])[0] for x in words(t, self.span)), "<u4")
+                continue
+            lists.append(WORD.findall(t))
+            held += len(t)
+            if held >= self.span:
+                yield from self._joined(lists)
+                lists, held = [], 0
+        yield from self._joined(lists)
+
+    def _bytes(self, lists: list[list[str]]) -> list[bytes]:
+        get = self._look(lists).__getitem__
+        return [b"".join(map(get, x)) for x in lists]
+
+    def _joined(self, lists: list[list[str]]) -> Iterator[np.ndarray]:
+        return (np.frombuffer(b, "<u4") for b in self._bytes(lists))
 
-            import public_tokenizers
-            import tiktoken
+    def ids(self, text: str) -> list[int]:
+        return next(self.encode([text])).tolist()
 
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, text: str) -> list[int]:
-        if self.fast is not None and (text.isascii() or ord(max(text)) < FAST_BELOW):
-            return self.fast.encode_ordinary(text)
-        return self.slow.encode(text, add_special_tokens=False).ids
+class _Two(dict):
+    """A small table before a large one."""
+
+    def __init__(self, new: dict, known: dict):
+        super().__init__(new)
+        self.known = known
+
+    def __missing__(self, word: str) -> bytes:
+        return self.known[word]
 
 
 _ENCODERS: dict[str, Encoder] = {}

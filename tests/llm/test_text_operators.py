@@ -256,11 +256,11 @@ def check_packed(rows, capacity):
 
 @pytest.mark.parametrize("capacity", [1024, 16])
 def test_packing_places_every_token(spark, awkward, nothing, capacity):
-    rows = packing.pack(spark, awkward, capacity, rows_per_bucket=5).collect()
+    rows = packing.pack(spark, awkward, capacity, rows_per_bucket=5, buckets_per_run=2).collect()
     ids = tokens.encoder(tokens.default_path())
     want = Counter()
     for r in awkward.collect():
-        x = [*ids.slow.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        x = [*ids.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2]
         first = (len(x) - 1) % capacity + 1
         for k, end in enumerate(range(first, len(x) + 1, capacity)):
             at = max(0, end - capacity)
@@ -283,13 +283,27 @@ def test_plans_are_near_the_bound():
         assert plan.n <= 1.04 * -(-lengths.sum() // 1024) + 1
 
 
-def test_both_token_libraries_agree():
-    e = tokens.encoder(tokens.default_path())
+@pytest.mark.parametrize("span, keep", [(1 << 20, 300_000), (7, 3)])
+def test_ids_are_those_of_whole_texts(span, keep):
+    e = tokens.Encoder(tokens.default_path(), keep, span)
     r = random.Random(6)
-    singles = [chr(c) for c in range(tokens.FAST_BELOW)]
-    texts = singles + [f"a{c}b {c}{c} 1{c}" for c in singles] + ["".join(r.choice(singles) for _ in range(r.randint(1, 60))) for _ in range(3000)] + ["<|endoftext|> x", "  \n\n a\t b  ", "漢字 🙂"]
-    for t in texts:
-        assert e.ids(t) == e.slow.encode(t, add_special_tokens=False).ids, repr(t)
+    odd = [chr(c) for c in [*range(0x530), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF, 0x4E00, 0x1F642, 0x301, 0x663]]
+    pool = odd + list(" \t\n\r'stllabcXYZ019.,!?-") * 8 + ["  ", "'ll", " the", "<|endoftext|>"]
+    texts = odd + [f"a{c}b {c}{c} 1{c}" for c in odd] + ["".join(r.choice(pool) for _ in range(r.randint(1, 60))) for _ in range(3000)] + ["<|endoftext|> x", "  \n\n a\t b  ", "漢字 🙂", ""]
+    for t, got in zip(texts, e.encode(texts), strict=True):
+        assert got.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    assert len(e.known) <= keep + len({w for t in texts for x in tokens.words(t, span) for w in x})
+
+
+def test_long_blank_runs_are_packed(spark):
+    rows = [(1, " " * 2_000_000 + "x"), (2, "\n" * 2_000_000 + "x"), (3, "x" * 1_000_000), (4, "a \u3000" * 100_000)]
+    got = defaultdict(list)
+    for r in packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+    slow = tokens.encoder(tokens.default_path()).tokenizer
+    for d, t in rows:
+        ids = np.array([*slow.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert sorted(got[d]) == [(a, n, zlib.crc32(ids[a : a + n].tobytes())) for a, n, _ in sorted(got[d])] and sum(n for _, n, _ in got[d]) == len(ids)
 
 
 # ---- repeated strings ----
