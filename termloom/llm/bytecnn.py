@@ -15,6 +15,8 @@ from .sampling import held_out, labelled, logistic
 CHUNK, STEP, WIDTH, STRIDE = 384, 320, 8, 2
 EMBED, FILTERS, HIDDEN = 6, 32, 16
 PAD = 256
+#: Largest whole numbers of rounded byte vectors and filters: sums of WIDTH * EMBED products stay below 2 ** 24.
+EMBED_STEPS, FILTER_STEPS = 256, 1024
 
 
 def chunks(raw: bytes) -> np.ndarray:
@@ -25,20 +27,22 @@ def chunks(raw: bytes) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, CHUNK)[::STEP]
 
 
-def grouped(texts: list[str], bound: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(chunks, their text's index, number of texts) of runs of texts of at most about `bound` chunks; a longer text is
-    cut at chunks and comes in several pieces, each naming index -1 - k while more of text k follows."""
-    held, owner, k, n = [], [], 0, 0
-    for t in texts:
+def grouped(texts: list[str], bound: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(chunks, their text's index) of runs of at most `bound` chunks; a longer text is cut between chunks and goes on in
+    the next run."""
+    held, owner, n = [], [], 0
+    for k, t in enumerate(texts):
         c = chunks(t.encode("utf-8", "replace"))
-        if n and n + len(c) > bound:
-            yield np.concatenate(held), np.concatenate(owner), k
-            held, owner, k, n = [], [], 0, 0
-        held.append(c)
-        owner.append(np.full(len(c), k))
-        k, n = k + 1, n + len(c)
-    if k:
-        yield np.concatenate(held), np.concatenate(owner), k
+        for i in range(0, len(c), bound):
+            part = c[i : i + bound]
+            if n and n + len(part) > bound:
+                yield np.concatenate(held), np.concatenate(owner)
+                held, owner, n = [], [], 0
+            held.append(part)
+            owner.append(np.full(len(part), k))
+            n += len(part)
+    if n:
+        yield np.concatenate(held), np.concatenate(owner)
 
 
 @dataclass
@@ -60,17 +64,20 @@ class Net:
         embed[PAD] = 0
         return cls(embed, f32(WIDTH * EMBED, FILTERS, scale=0.25), np.zeros(FILTERS, np.float32), f32(2 * FILTERS, HIDDEN, scale=0.15), np.zeros(HIDDEN, np.float32), f32(HIDDEN, scale=0.3), np.zeros(1, np.float32))
 
-    def pooled(self, c: np.ndarray, want_at: bool = False, step: int = 256) -> tuple[np.ndarray, np.ndarray | None]:
-        """Largest answer of each filter in each chunk, and where."""
-        best, at = np.empty((len(c), FILTERS), np.float32), np.empty((len(c), FILTERS), np.int32) if want_at else None
+    def answers(self, c: np.ndarray, embed: np.ndarray, filters: np.ndarray, step: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+        """(first chunk, answer of each filter at each place of each chunk), for some chunks at a time."""
+        n = (CHUNK - WIDTH) // STRIDE + 1
         for i in range(0, len(c), step):
-            part = self.embed[c[i : i + step]].reshape(-1, CHUNK * EMBED)
-            n = (CHUNK - WIDTH) // STRIDE + 1
+            part = embed[c[i : i + step]].reshape(-1, CHUNK * EMBED)
             view = np.lib.stride_tricks.as_strided(part, (len(part), n, WIDTH * EMBED), (part.strides[0], STRIDE * EMBED * 4, 4))
-            answer = (view.reshape(-1, WIDTH * EMBED) @ self.filters).reshape(len(part), n, FILTERS)
-            best[i : i + step] = answer.max(axis=1)
-            if at is not None:
-                at[i : i + step] = answer.argmax(axis=1)
+            yield i, (view.reshape(-1, WIDTH * EMBED) @ filters).reshape(len(part), n, FILTERS)
+
+    def pooled(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest answer of each filter in each chunk, and where."""
+        best, at = np.empty((len(c), FILTERS), np.float32), np.empty((len(c), FILTERS), np.int32)
+        for i, answer in self.answers(c, self.embed, self.filters):
+            best[i : i + len(answer)] = answer.max(axis=1)
+            at[i : i + len(answer)] = answer.argmax(axis=1)
         return np.maximum(best + self.bias, 0), at
 
     def head(self, pooled: np.ndarray, owner: np.ndarray, k: int) -> tuple:
@@ -82,12 +89,36 @@ class Net:
         return logistic((h @ self.out + self.out_bias).astype(np.float64)), h, x, start, count
 
     def predict(self, texts: list[str], bound: int = 4096) -> np.ndarray:
-        out = [self.head(self.pooled(c)[0], owner, k)[0] for c, owner, k in grouped(texts, bound)]
-        return np.concatenate(out) if out else np.zeros(0)
+        """Scores that depend on each text alone, to the last bit, however texts are batched: bytes' vectors and filters
+        are rounded to whole numbers of 8 and 10 bits, whose sums of products are exact in any order, pooled values are
+        summed as integers, and what follows is done element by element."""
+        scale_e, scale_f = (max(float(np.abs(x).max()), 1e-9) / n for x, n in ((self.embed, EMBED_STEPS), (self.filters, FILTER_STEPS)))
+        embed, filters = np.rint(self.embed / scale_e).astype(np.float32), np.rint(self.filters / scale_f).astype(np.float32)
+        bias = np.rint(self.bias.astype(np.float64) / (scale_e * scale_f)).astype(np.int64)
+        total, top = np.zeros((2, len(texts), FILTERS), np.int64)
+        count = np.zeros((len(texts), 1))
+        for c, owner in grouped(texts, bound):
+            best = np.empty((len(c), FILTERS), np.int64)
+            for i, answer in self.answers(c, embed, filters):
+                best[i : i + len(answer)] = answer.max(axis=1)
+            best = np.maximum(best + bias, 0)
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            who = owner[first]
+            total[who] += np.add.reduceat(best, first)
+            top[who] = np.maximum(top[who], np.maximum.reduceat(best, first))
+            count[who, 0] += np.diff(np.append(first, len(owner)))
+        x = np.concatenate([total / np.maximum(count, 1), top], axis=1) * (scale_e * scale_f)
+        hidden = np.zeros((len(texts), HIDDEN)) + self.dense_bias
+        for i in range(x.shape[1]):
+            hidden += x[:, i : i + 1] * self.dense[i].astype(np.float64)
+        hidden, out = np.tanh(hidden), np.zeros(len(texts)) + self.out_bias[0]
+        for i in range(HIDDEN):
+            out += hidden[:, i] * float(self.out[i])
+        return logistic(out)
 
     def learn(self, c: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> float:
         k = len(y)
-        pooled, at = self.pooled(c, True)
+        pooled, at = self.pooled(c)
         p, h, x, start, count = self.head(pooled, owner, k)
         g = ((p - y) * weight / k).astype(np.float32)
         grads = {"out": h.T @ g, "out_bias": g.sum(keepdims=True)}
@@ -135,8 +166,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, batch: int = 32
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 6000, max_chars: int = 8000) -> Net:
-    sample = labelled(docs, labels, "quality", rows, max_chars)
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 6000, chars: int = 8000) -> Net:
+    """Learn from at most `rows` labelled documents; of a text of over `chars` characters, from slices spread over all of it."""
+    sample = labelled(docs, labels, "quality", rows, chars)
     return train(sample["text"].tolist(), sample["label"].to_numpy())
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,22 +13,46 @@ from pyspark.sql import functions as F
 from .neardup import shingles
 from .sampling import held_out, labelled, logistic
 
-# Common English insults.
-INSULTS = "idiot moron stupid dumb loser scum trash garbage pathetic worthless disgusting clown fool imbecile jerk filth vermin pig bastard creep".split()
+#: Common insults by language; a lexicon is a voter and needs no label.
+INSULTS = {
+    "english": "idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown fool imbecile jerk filth filthy vermin pig bastard creep",
+    "german": "idiot idioten trottel dumm dummkopf versager abschaum arschloch schwein schweine depp volltrottel spinner dreck drecksack widerlich erbärmlich wertlos müll lügner verlierer blödmann ekelhaft penner",
+    "french": "idiot idiote imbécile crétin abruti débile connard connasse salaud salope ordure raclure pourriture minable pathétique stupide dégoûtant bouffon nul perdant déchet racaille",
+    "spanish": "idiota idiotas imbécil estúpido estúpida tonto basura escoria asqueroso patético inútil payaso cerdo perdedor mierda cabrón gilipollas tarado cretino bastardo repugnante",
+    "italian": "idiota idioti stupido cretino imbecille deficiente schifoso spazzatura feccia patetico inutile pagliaccio perdente bastardo stronzo verme disgustoso",
+    "portuguese": "idiota burro estúpido imbecil otário lixo escória nojento patético inútil palhaço perdedor babaca porco desgraçado",
+}
+LEXICONS = {k: frozenset(v.split()) for k, v in INSULTS.items()}
+EVERY = frozenset().union(*LEXICONS.values())
 
 WORDS = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"[A-Z]{3,}[!?]{1,}")
-PREFIX = 4, 5, 6
+STRETCH = re.compile(r"([^\W\d_])\1\1+")
+MASKED = re.compile(r"[^\W\d_]+[0134578@$][\w@$]*[^\W_]")
+UNMASK = str.maketrans("0134578@$", "oieastbas")
+_ANY = "|".join(sorted(EVERY))
+ADDRESSED = re.compile(rf"\b(?:you|your|youre|ur|du|dich|dein|deine|ihr|euch|tu|toi|ton|vous|votre|eres|tú|usted|sei|você|voce)\b\W+(?:\w+\W+){{0,3}}?(?:{_ANY})\b")
+EXCLAIMED = re.compile(rf"\b(?:{_ANY})\b\s*[!?]")
+#: Voters after the mined terms: one a language, and one a pattern.
+PATTERNS = ("addressed", "exclaimed", "disguised", "shouted", "repeated", "several", "none")
+#: Letters of beginnings that count as terms, and of those that count when several words of a document share them.
+PREFIX, SHARED = (4, 5, 6), (4, 5, 6, 7)
+#: Least share of a document's words that a shared beginning has; at least two words.
+DENSE = 0.008
 #: Votes: for, abstain, against.
 FOR, NONE, AGAINST = 1, 0, -1
 
 
 def terms(text: str) -> set[str]:
-    """Words in lower case, and their first 4, 5 and 6 letters marked by a final *."""
-    words = set(WORDS.findall(text.lower()))
+    """Words in lower case, their first 4, 5 and 6 letters marked by a final *, and beginnings that many of the words have by **."""
+    every = WORDS.findall(text.lower())
+    words = set(every)
     out = set(words)
     for n in PREFIX:
         out.update([f"{w[:n]}*" for w in words if len(w) > n])
+    least = max(2, DENSE * len(every))
+    for n in SHARED:
+        out.update([f"{w}**" for w, m in Counter([w[:n] for w in every if len(w) >= n]).items() if m >= least])
     return out
 
 
@@ -83,7 +108,7 @@ def lexicons(docs: list[np.ndarray], names: list[str], labels: np.ndarray, size:
             tally[t], number[t] = (n, neg), k
     # A beginning gives way to a longer term that has nearly all of its toxic documents and fewer others.
     for _, _, t in list(scored):
-        longer = [x for x in tally if x != t and t.endswith("*") and x.startswith(t[:-1]) and tally[x][0] > 0.8 * tally[t][0] and tally[x][1] < tally[t][1]]
+        longer = [x for x in tally if x != t and t.endswith("*") and x.startswith(t.rstrip("*")) and tally[x][0] > 0.8 * tally[t][0] and tally[x][1] < tally[t][1]]
         if longer:
             scored = [z for z in scored if z[2] != t]
     scored = sorted(scored)[: 4 * size]
@@ -98,19 +123,38 @@ def lexicons(docs: list[np.ndarray], names: list[str], labels: np.ndarray, size:
     return [t for *_, t in scored if out[tuple(where[t])] == t][:size]
 
 
+def disguised(lower: str) -> bool:
+    """Whether an insult is spelt with digits or signs for letters, or with a letter drawn out."""
+    if any(w.translate(UNMASK) in EVERY for w in MASKED.findall(lower)):
+        return True
+    if STRETCH.search(lower) is None:
+        return False
+    return any(STRETCH.sub(r"\1", w) in EVERY or STRETCH.sub(r"\1\1", w) in EVERY for w in WORDS.findall(lower) if STRETCH.search(w))
+
+
 def votes(found: list[set[str]], texts: list[str], lexicon: list[str]) -> np.ndarray:
-    """One row a document, one column a voter: each mined term, the listed insults, shouting, two hits or more, no hit."""
+    """One row a document, one column a voter: each mined term; the insults of each language; insults after a second
+    person, before an exclamation or question mark, in disguised spelling; shouting; one insult three times or more; two
+    different hits or more; and no hit at all, which votes against."""
     place = {t: i for i, t in enumerate(lexicon)}
-    out = np.zeros((len(found), len(lexicon) + 4), np.int8)
-    fixed = set(INSULTS)
+    out = np.zeros((len(found), len(lexicon) + len(LEXICONS) + len(PATTERNS)), np.int8)
     for i, (terms_, text) in enumerate(zip(found, texts, strict=True)):
         hits = [place[t] for t in terms_ if t in place]
         out[i, hits] = FOR
-        n = len(hits) + len(terms_ & fixed)
-        out[i, -4] = FOR if terms_ & fixed else NONE
-        out[i, -3] = FOR if len(SHOUT.findall(text)) > 3 else NONE
-        out[i, -2] = FOR if n >= 2 else NONE
-        out[i, -1] = AGAINST if n == 0 else NONE
+        insults, lower = terms_ & EVERY, text.lower()
+        if insults:
+            out[i, len(lexicon) : len(lexicon) + len(LEXICONS)] = [FOR if insults & x else NONE for x in LEXICONS.values()]
+        n = len({t.rstrip("*")[:4] for t in insults} | {lexicon[k].rstrip("*")[:4] for k in hits})
+        hidden = disguised(lower)
+        out[i, -len(PATTERNS) :] = [
+            FOR if insults and ADDRESSED.search(lower) else NONE,
+            FOR if insults and EXCLAIMED.search(lower) else NONE,
+            FOR if hidden else NONE,
+            FOR if len(SHOUT.findall(text)) > 3 else NONE,
+            FOR if any(len(re.findall(rf"\b{w}\b", lower)) > 2 for w in insults) else NONE,
+            FOR if n >= 2 else NONE,
+            AGAINST if n == 0 and not hidden else NONE,
+        ]
     return out
 
 
@@ -178,7 +222,7 @@ class Model:
         names = list(number)
         lexicon = lexicons(docs, names, labels, size, support)
         used = np.zeros(len(names), bool)
-        used[[number[t] for t in (*lexicon, *INSULTS) if t in number]] = True
+        used[[number[t] for t in (*lexicon, *EVERY) if t in number]] = True
         v = votes([{names[k] for k in ids[used[ids]].tolist()} for ids in docs], texts, lexicon)
         soft = LabelModel.fit(v, float(np.clip(labels.mean() if len(labels) else 0.1, 0.01, 0.99))).posterior(v) if len(v) else np.zeros(0)
         x = v.astype(np.float64)
@@ -195,8 +239,9 @@ class Model:
         return logistic(votes([terms(t) for t in texts], texts, self.lexicon).astype(np.float64) @ self.weights + self.bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 8000, max_chars: int = 50_000, size: int = 300, support: int = 4) -> Model:
-    sample = labelled(docs, labels, "toxic", rows, max_chars)
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 8000, chars: int = 50_000, size: int = 300, support: int = 4) -> Model:
+    """Learn from at most `rows` labelled documents; of a text of over `chars` characters, from slices spread over all of it."""
+    sample = labelled(docs, labels, "toxic", rows, chars)
     return Model.train(sample["text"].tolist(), sample["label"].to_numpy().astype(int), size, support)
 
 

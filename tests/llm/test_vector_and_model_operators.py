@@ -219,3 +219,47 @@ def test_network_reads_whole_texts():
     assert covered.all()
     assert net.predict([text])[0] != net.predict([text[:-1] + "\x01"])[0]
     assert np.allclose(net.predict(["x y", text, ""], bound=3), [net.predict([t])[0] for t in ("x y", text, "")], atol=1e-5)
+
+
+def test_scores_depend_on_the_text_alone():
+    """To the last bit, in any batch, at any place in it, and however long texts are cut."""
+    r = random.Random(3)
+    net = bytecnn.train([prose(i, 30) if i % 2 else prose(i, 30).upper() for i in range(40)], np.arange(40) % 2, epochs=1, budget=20)
+    texts = ["", "x", "é漢🙂" * 40, prose(1, 20_000)] + [prose(100 + i, r.randint(1, 900)) for i in range(60)]
+    alone = [net.predict([t])[0] for t in texts]
+    for bound in (1, 3, 100, 4096):
+        assert net.predict(texts, bound).tolist() == alone
+    assert net.predict(texts[::-1] + texts[:7]).tolist() == alone[::-1] + alone[:7]
+
+
+def test_rounded_network_follows_the_learnt_one():
+    net = bytecnn.train([prose(i, 30) if i % 2 else prose(i, 30).upper() for i in range(40)], np.arange(40) % 2, epochs=1, budget=60)
+    for t in (prose(5, 50), prose(6, 400).upper(), "aB1 " * 100):
+        c = bytecnn.chunks(t.encode())
+        plain = net.head(net.pooled(c)[0], np.zeros(len(c), int), 1)[0][0]
+        assert abs(plain - net.predict([t])[0]) < 0.05
+
+
+def test_long_texts_are_sampled_all_over(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(10_000))
+    df = spark.createDataFrame([(text,), ("short",), (None,), ("y" * 100,)], "text string")
+    got = [x[0] for x in df.select(sampling.spread(F.col("text"), 100, 5)).collect()]
+    assert got[1:] == ["short", None, "y" * 100]
+    parts = got[0].split("\n")
+    assert parts == [text[i : i + 20] for i in (0, 2495, 4990, 7485, 9980)]
+
+
+def test_repeated_ids_give_one_row_of_training(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (5, None), (None, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (5, 1), (None, 1)], "doc_id long, toxic int")
+    assert sampling.labelled(docs, labels, "toxic", 10, 50).values.tolist() == [[1, "a", 1]]
+
+
+def test_voters_without_labels():
+    texts = ["you are such an idiot", "what an idi0t he is", "iiidiot", "a m0r0n", "du bist ein trottel!", "calm words only", "idiot x idiot y idiot"]
+    v = toxicity.votes([toxicity.terms(t) for t in texts], texts, [])
+    names = [*toxicity.LEXICONS, *toxicity.PATTERNS]
+    says = [{n for n, x in zip(names, row, strict=True) if x == toxicity.FOR} for row in v]
+    assert {"english", "addressed"} <= says[0] and "disguised" in says[1] and "disguised" in says[2] and "disguised" in says[3]
+    assert {"german", "addressed", "exclaimed"} <= says[4] and not says[5] and v[5, -1] == toxicity.AGAINST and "repeated" in says[6]
+    assert "abcd**" in toxicity.terms("abcdx abcdy z") and "abcd**" not in toxicity.terms("abcdx efghy z")
