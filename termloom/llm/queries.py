@@ -77,6 +77,4 @@ def op9_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    # Up to a million vectors fit 128 buckets a table; beyond, two axes a table and more probes.
-    more = {} if vectors.count() < 1_000_000 else {"halves": 2, "tables": 16, "probes": 120}
-    return ann.search(spark, vectors, vectors.where("vec_id % 50 = 0"), **more)
+    return ann.search(spark, vectors, vectors.where("vec_id % 50 = 0"))

@@ -98,8 +98,8 @@ def exact(rows, queries, k):
     return out
 
 
-@pytest.mark.parametrize("halves", [1, 2])
-def test_neighbours(spark, halves):
+@pytest.mark.parametrize("options", [{}, {"block": 1000}, {"block": 300, "sample": 7, "tables": 4}])
+def test_neighbours(spark, options):
     r = np.random.default_rng(9)
     base = r.standard_normal((400, 24))
     near = base[:80] + 0.3 * r.standard_normal((80, 24))
@@ -109,8 +109,7 @@ def test_neighbours(spark, halves):
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, ids string")
     asked = df.where("vec_id % 10 = 0 or vec_id in (2005, 2001)")
     got = defaultdict(list)
-    options = {"tables": 16, "probes": 200, "halves": 2} if halves == 2 else {}
-    for x in ann.search(spark, df, asked, block=50, **options).orderBy("query_id", "rank").collect():
+    for x in ann.search(spark, df, asked, **options).orderBy("query_id", "rank").collect():
         got[x["query_id"]].append((x["vec_id"], x["score"], x["rank"]))
     want = exact(rows, [(i, v) for i, v in rows if i is not None and (i % 10 == 0 or i in (2005, 2001))], 5)
     assert set(got) == set(want) and 2001 not in got and [v for v, *_ in got[2005]] == [2006]
@@ -125,7 +124,7 @@ def test_neighbours(spark, halves):
 
 def test_few_vectors_are_all_found(spark):
     df = spark.createDataFrame([(i, [float(i == j) for j in range(8)]) for i in range(8)], "vec_id long, embedding array<double>")
-    got = ann.search(spark, df, df.where("vec_id = 0"), tables=1, probes=1).orderBy("rank").collect()
+    got = ann.search(spark, df, df.where("vec_id = 0"), tables=1, share=1e-9).orderBy("rank").collect()
     assert [(x["vec_id"], x["score"]) for x in got] == [(i, 0.0) for i in range(1, 6)]
 
 
@@ -139,6 +138,49 @@ def test_rotation_keeps_lengths_and_hashes_follow_nearness():
     assert (ann.axes(-x, 0, 1, 1) == ann.axes(x, 0, 1, 1) ^ 1).all()
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_query_over_embeddings(spark, size):
+    from termloom.llm.queries import QUERIES
+
+    folder = f"/root/testdata/{size}"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    ids = np.array([i for i, v in rows])
+    x = np.array([v for _, v in rows], np.float64)
+    got = defaultdict(list)
+    for r in QUERIES["op7_cross_polytope_neighbours"](spark, folder).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    asked = [i for i in ids if i % 50 == 0]
+    assert sorted(got) == sorted(asked)
+    hits = 0
+    for q in asked:
+        v = x[ids == q][0]
+        score = (x * v).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((v * v).sum()))
+        score[ids == q] = -9
+        best = set(ids[np.lexsort((ids, -score))[:5]])
+        hits += len(best & {i for i, _ in got[q]})
+        assert len(got[q]) == 5 and all(abs(s - score[ids == i][0]) < 1e-12 for i, s in got[q])
+    assert hits >= 0.9 * 5 * len(asked)
+
+
+def test_recall_of_the_setting_for_a_million():
+    """The buckets that production's setting looks into for a million vectors, against brute force over a million random ones,
+    which have no structure that would make them easy to find."""
+    n, w = 1_000_000, 64
+    x = np.random.default_rng(5).standard_normal((n, w), dtype=np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, n, n // 60)
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -9
+    top = np.argpartition(-near, 5, axis=1)[:, :5]
+    count = int(np.ceil(ann.n_codes(w) * ann.share_of(n, 0.1)))
+    met = np.zeros(top.shape, bool)
+    for t in range(2):
+        codes = ann.buckets(x[top.ravel()].astype(float), t, 11).reshape(top.shape)
+        for i, mine in enumerate(ann.probed(x[asked].astype(float), t, 11, count)):
+            met[i] |= np.isin(codes[i], mine)
+    assert met.mean() >= 0.9, met.mean()
+
+
 # ---- classifiers ----
 def corpus(n, seed):
     """(rows, labels): a tenth toxic by words, a fifth junk."""
