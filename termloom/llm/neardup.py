@@ -15,6 +15,8 @@ U64 = np.uint64
 BYTE_P = 0x9E3779B97F4A7C15
 BYTE_Q = pow(BYTE_P, -1, 1 << 64)
 PUNCTUATION = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]+")
+#: Letters of scripts that are written without blanks, each of which counts as a word.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
@@ -26,6 +28,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps, and bytes whose words are hashed together.
+KEPT = PIECE = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -34,25 +38,45 @@ def powers(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         have = np.full(max(n, 1 << 16), base % 2**64, U64)
         have[0] = 1
-        _POWERS[base] = have = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        if n <= 2 * KEPT:
+            _POWERS[base] = have
     return have[:n]
 
 
+def _word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of bytes that end outside a word."""
+    edge = np.diff(is_word.astype(np.int8), prepend=0)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum((data.astype(U64) + U64(1)) * powers(BYTE_P, len(data)), out=total[1:])
+    return start, mix((total[end] - total[start]) * powers(BYTE_Q, len(data))[start])
+
+
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the first word's place of each text, with the number of words at the end."""
+    """Hashes of all words, and the first word's place of each text, with the number of words at the end. Bytes are taken
+    in pieces that end between words, so a long text costs eight bytes a word, not tens a byte."""
     raws = []
     for t in texts:
         t = t.lower()
-        raws.append((t if t.isascii() else PUNCTUATION.sub(" ", t)).encode("utf-8", "replace") + b" ")
+        if not t.isascii():
+            t = UNSPACED.sub(r" \1 ", PUNCTUATION.sub(" ", t))
+        raws.append(t.encode("utf-8", "replace") + b" ")
     data = np.frombuffer(b"".join(raws), np.uint8)
     ends = np.cumsum([len(r) for r in raws])
     is_word = WORD_BYTE[data]
-    edge = np.diff(is_word.astype(np.int8), prepend=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * powers(BYTE_P, len(data)), out=total[1:])
-    hashes = mix((total[end] - total[start]) * powers(BYTE_Q, len(data))[start])
-    return hashes, np.searchsorted(start, np.concatenate([[0], ends]))
+    starts, hashes, at = [], [], 0
+    while at < len(data):
+        stop = min(len(data), at + PIECE)
+        if stop < len(data):
+            gaps = np.flatnonzero(~is_word[at:stop])
+            stop = at + int(gaps[-1]) + 1 if len(gaps) else stop + int(np.argmin(is_word[stop:])) + 1
+        start, h = _word_hashes(data[at:stop], is_word[at:stop])
+        starts.append(start + at)
+        hashes.append(h)
+        at = stop
+    start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    return np.concatenate(hashes) if hashes else np.zeros(0, U64), np.searchsorted(start, np.concatenate([[0], ends]))
 
 
 def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +180,8 @@ def classes(
     threshold: float = 0.8,
     bands: int = 25,
     rows: int = 5,
-    block: int = 8192,
+    block: int = 2048,
+    most: int = 4_000_000,
     broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """(doc_id, key, class_id, class_key) for each row of docs(doc_id, text), key being xxhash64(text): the smallest
@@ -166,12 +191,13 @@ def classes(
     bands * rows registers are cut into bands; texts that share a band are candidates (a pair at 0.8 is missed once in
     20,000). They are verified exactly: first each text with the smallest text of its buckets. Buckets that then still
     hold several classes are gathered by their smallest class, and each text outside its gathering's largest class is
-    compared with all others of other classes at once, through an index of shingles; a task holds at most `block` texts.
-    A bucket of more than `block` texts of several classes loses one leader a round, compared with all its texts of
-    other classes, until it is smaller or one class. So a pair in a bucket is verified or inside one class already,
-    and no group of copies is expanded into its pairs.
+    compared with all others of other classes at once, through an index of shingles. A task holds at most some `block` texts
+    and `most` shingles: of larger gatherings, texts without a rare shingle in common with another class go, by an exact
+    bound, and the rest meet in a grid of blocks, part i against part j. The number of stages doesn't depend on sizes, every
+    pair in a bucket is verified, ruled out by the bound or inside one class, and no group of copies is expanded into its pairs.
 
-    Null, empty and wordless texts are classes of their own for each doc_id and text; rows equal in both fall in one
+    A word is a run of letters and digits; of scripts without blanks, a letter. Null, empty and wordless texts are classes of
+    their own for each doc_id and text; rows equal in both fall in one
     class; null doc_id counts as the smallest; an empty table gives an empty result; other columns are not looked at.
     """
     cut = Cut(spark)
@@ -196,34 +222,22 @@ def classes(
     signed = rows_.mapInArrow(sign, "doc_id long, key long, p1 long, p2 long, n int, bands array<long>")
     signed = cut(signed.withColumn("node", F.when(F.col("n") > 0, F.concat(F.unhex(F.lpad(F.hex("p1"), 16, "0")), F.unhex(F.lpad(F.hex("p2"), 16, "0"))))).drop("p1", "p2"))
     # One text of each print: the rest are its copies.
-    reps = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("at"), F.first("bands").alias("bands"))
+    reps = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("at"), F.first("bands").alias("bands"), F.max("n").alias("n"))
     live = reps.select("node", F.explode("bands").alias("bucket"))
     leaders = live.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
     live = cut(live.join(leaders, "bucket").select("bucket", "node", "lead"))
     some = live.select("node").distinct()
-    wanted = cut(reps.join(some, "node", "left_semi").select("node", "at.doc_id", "at.key"))
+    wanted = cut(reps.join(some, "node", "left_semi").select("node", "at.doc_id", "at.key", "n"))
     many = wanted.count()
     features = _features(cut, rows_, wanted, words_, many <= broadcast_rows)
     edges = cut(_verified(live.where("node <> lead").groupBy("node").agg(F.min("lead").alias("lead")), features, threshold))
     roots = components(cut, edges)
-    n = 0
-    while True:
-        n += 1
-        placed = live.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("class"))
-        lead = F.min_by(F.struct("node", "class"), F.xxhash64("node", F.lit(n))).alias("lead")
-        open_ = cut(placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), lead).where("lo <> hi"))
-        largest = open_.agg(F.max("n")).first()[0]
-        if largest is None:
-            break
-        placed = cut(placed.join(open_.select("bucket", "lo", "lead"), "bucket"))
-        if largest <= block:
-            edges = edges.union(cut(_linked(cut, placed, features, threshold, block)))
-            roots = components(cut, edges)
-            break
-        pairs = placed.where(F.col("class") != F.col("lead.class")).select("node", F.col("lead.node").alias("lead"))
-        edges = edges.union(cut(_verified(pairs.distinct(), features, threshold)))
+    placed = live.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("class"))
+    open_ = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket", "lo")
+    placed = cut(placed.join(open_, "bucket").join(wanted.select("node", "n"), "node").select("bucket", "lo", "node", "class", "n"))
+    if not placed.isEmpty():
+        edges = edges.union(cut(_linked(spark, cut, placed, features, threshold, block, most)))
         roots = components(cut, edges)
-        live = placed.where(F.col("node") != F.col("lead.node"))
     named = signed.select("doc_id", "key", "node").join(roots.select("node", "root"), "node", "left")
     named = named.withColumn("group", F.coalesce("root", "node", F.concat(F.lit(b"\x00"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b"/"), F.col("key").cast("string").cast("binary"))))
     named = cut(named.select("doc_id", "key", "group"))
@@ -277,8 +291,9 @@ def _verified(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFr
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def links(classes_: list[bytes], hashes: list[np.ndarray], weights: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Pairs of texts of different classes with similarity `threshold` or more, enough of them to join what is alike."""
+def links(classes_: list[bytes], hashes: list[np.ndarray], weights: list[np.ndarray], threshold: float, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of texts of different classes with similarity `threshold` or more, enough of them to join what is alike; if
+    parts are given, pairs of different parts alone."""
     up = list(range(len(classes_)))
 
     def find(i: int) -> int:
@@ -309,50 +324,117 @@ def links(classes_: list[bytes], hashes: list[np.ndarray], weights: list[np.ndar
         rest = total - np.bincount(who, weights=y, minlength=len(size))
         # An upper bound of the similarity, and its value if all weights are 1.
         bound = np.bincount(who, weights=1 / (total[x] / own + rest[who] / y), minlength=len(size))
-        for j in np.flatnonzero(bound >= threshold - 1e-9):
+        able = bound >= threshold - 1e-9
+        for j in np.flatnonzero(able if parts is None else able & (parts != parts[x])):
             if find(x) != find(j) and similarity(np.sort(hashes[x]), weights[x][np.argsort(hashes[x])], np.sort(hashes[j]), weights[j][np.argsort(hashes[j])]) >= threshold:
                 up[find(x)] = find(j)
                 out.append((int(x), int(j)))
     return out
 
 
-def _linked(cut: Cut, placed: DataFrame, features: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b): links between classes within buckets (bucket, node, class, lo). Buckets with one smallest class are one
-    group if that holds at most `block` texts, else a group each."""
-    groups = placed.select("lo", "node").distinct().groupBy("lo").agg(F.count("*").alias("texts"))
-    large = cut(groups.where(F.col("texts") > block).select("lo", F.lit(True).alias("large")))
-    if (n := large.count()) == 0:
-        keyed = placed.withColumn("group", F.col("lo"))
+#: Cells in which shingles are counted to tell rare ones; any order of shingles gives exact results.
+CELLS = 1 << 20
+
+
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h.view(U64) >> U64(44)).astype(np.int64)
+
+
+def prefix(h: np.ndarray, weight: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """Indices of a text's rarest shingles that hold more than 1 - threshold of its weight. The similarity of two texts is at most
+    the sum of the lesser shares of each shingle, so without a prefix shingle in common it is below threshold."""
+    order = np.lexsort((h, counts[_cells(h)]))
+    share = np.cumsum(weight[order]) / weight.sum()
+    return order[: int(np.searchsorted(share, 1 - threshold + 1e-9, side="right")) + 1]
+
+
+def _lists(batch, columns: tuple) -> list:
+    return [(batch.column(c).values.to_numpy(zero_copy_only=False), batch.column(c).offsets.to_numpy(zero_copy_only=False)) for c in columns]
+
+
+def _able(spark: SparkSession, cut: Cut, members: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
+    """The rows of members(group, node, class, n) with a prefix shingle that another class of their group has in its prefix too."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            cells, n = np.unique(_cells(batch.column(0).flatten().to_numpy(zero_copy_only=False)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], names=["cell", "n"])
+
+    texts = features.join(members.select("node").distinct(), "node", "left_semi")
+    found = texts.select("hashes").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(CELLS, np.int64)
+    counts[found["cell"]] = found["n"]
+    held = spark.sparkContext.broadcast(counts)  # CELLS numbers, whatever the input
+
+    def rare(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists, at, out = _lists(batch, (4, 5)), [], []
+            for i in range(len(batch)):
+                h, w = (v[o[i] : o[i + 1]] for v, o in lists)
+                mine = h[prefix(h, w, held.value, threshold)]
+                mine = mine[held.value[_cells(mine)] > 1]  # what one text alone has can't be shared
+                at.append(np.full(len(mine), i))
+                out.append(mine)
+            if out:
+                at = pa.array(np.concatenate(at))
+                cols = [batch.column(c).take(at) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(out))], names=["group", "node", "class", "n", "shingle"])
+
+    full = members.join(features, "node").select("group", "node", "class", "n", "hashes", "weights")
+    rows = cut(full.mapInArrow(rare, "group binary, node binary, class binary, n int, shingle long"))
+    shared = rows.groupBy("group", "shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("group", "shingle")
+    return rows.join(shared, ["group", "shingle"]).select("group", "node", "class", "n").distinct()
+
+
+def _linked(spark: SparkSession, cut: Cut, placed: DataFrame, features: DataFrame, threshold: float, block: int, most: int) -> DataFrame:
+    """(a, b): links between classes within buckets (bucket, lo, node, class, n). Buckets with one smallest class are one
+    group if that fits a task, else a group each; groups that don't fit are split by a grid."""
+    sized = lambda df, by: df.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / most)).cast("int").alias("blocks"))
+    large = cut(sized(placed.select("lo", "node", "n").distinct(), "lo").where("blocks > 1").select("lo", "blocks"))
+    keyed = placed.join(large, "lo", "left")
+    keyed = keyed.withColumn("group", F.when(F.col("blocks").isNotNull(), F.concat("lo", F.col("bucket").cast("string").cast("binary"))).otherwise(F.col("lo")))
+    keyed = cut(keyed.select("group", "node", "class", "n").distinct())
+    large = cut(sized(keyed, "group").where("blocks > 1").select("group"))
+    zero = F.lit(0).alias
+    if large.isEmpty():
+        units = keyed.select("group", "node", "class", zero("i"), zero("j"), zero("part"))
     else:
-        keyed = placed.join(F.broadcast(large) if n < 100_000 else large, "lo", "left")
-        keyed = keyed.withColumn("group", F.when(F.col("large"), F.concat("lo", F.col("bucket").cast("string").cast("binary"))).otherwise(F.col("lo")))
-    keyed = cut(keyed.select("group", "node", "class").distinct())
-    full = keyed.join(features, "node").select("group", "node", "class", "hashes", "weights")
+        units = keyed.join(large, "group", "left_anti").select("group", "node", "class", zero("i"), zero("j"), zero("part"))
+        able = cut(_able(spark, cut, keyed.join(large, "group", "left_semi"), features, threshold))
+        split = able.join(cut(sized(able, "group")), "group").withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        units = units.union(split.select("group", "node", "class", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part"))
+    full = units.join(features, "node").select("group", "i", "j", "part", "node", "class", "hashes", "weights")
 
     def run(batches):
         import pyarrow as pa
 
-        def solve(rows: list) -> list:
-            found = links([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], threshold)
-            return [(rows[i][0], rows[j][0]) for i, j in found]
+        def solve(unit: tuple, rows: list) -> list:
+            parts = np.array([r[0] for r in rows]) if unit[1] != unit[2] else None
+            found = links([r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], threshold, parts)
+            return [(rows[i][1], rows[j][1]) for i, j in found]
 
-        group, rows = None, []
+        unit, rows = None, []
         for batch in batches:
             out: list = []
-            lists = [(batch.column(c).values.to_numpy(zero_copy_only=False), batch.column(c).offsets.to_numpy(zero_copy_only=False)) for c in (3, 4)]
-            keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
-            for i, (g, node, c) in enumerate(keys):
-                if g != group:
-                    out += solve(rows) if rows else []
-                    group, rows = g, []
-                rows.append((node, c, *(v[o[i] : o[i + 1]].copy() for v, o in lists)))
+            lists = _lists(batch, (6, 7))
+            keys = zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)
+            for at, (group, i, j, *own) in enumerate(keys):
+                if (group, i, j) != unit:
+                    out += solve(unit, rows) if rows else []
+                    unit, rows = (group, i, j), []
+                rows.append((*own, *(v[o[at] : o[at + 1]].copy() for v, o in lists)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
-        out = solve(rows) if rows else []
+        out = solve(unit, rows) if rows else []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return full.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a binary, b binary")
+    return full.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a binary, b binary")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:

@@ -144,8 +144,8 @@ def brute_classes(rows, threshold=0.8):
     return {frozenset(g) for g in groups.values()}
 
 
-@pytest.mark.parametrize("block", [8192, 4])
-def test_classes_equal_brute_force(spark, block):
+@pytest.mark.parametrize("block, most", [(2048, 4_000_000), (4, 4_000_000), (2048, 300), (3, 200)])
+def test_classes_equal_brute_force(spark, block, most):
     r = random.Random(8)
     rows = []
     for g in range(6):
@@ -158,12 +158,60 @@ def test_classes_equal_brute_force(spark, block):
     rows += [(len(rows), "a b c d e f " * 6), (len(rows) + 1, "a b c d e f " * 12), (len(rows) + 2, None), (len(rows) + 3, ""), (len(rows) + 4, "??"), (len(rows) + 5, "two words"), (len(rows) + 6, "Two, words!")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = defaultdict(set)
-    for x in neardup.classes(spark, df, block=block).collect():
+    for x in neardup.classes(spark, df, block=block, most=most).collect():
         got[x["class_id"]].add(x["doc_id"])
     assert {frozenset(g) for g in got.values()} == brute_classes(rows)
     assert all(c == min(g) for c, g in got.items())
 
 
+def jobs_of(spark, rows, **options):
+    group = f"jobs-{len(rows)}-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    found = neardup.classes(spark, spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len({x["class_id"] for x in found}), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_stages_do_not_grow_with_a_template(spark):
+    """Texts of three quarters template and a quarter of their own, no pair at 0.8: no round a leader."""
+    template = prose(4242, 120)
+    rows = [(i, f"{template} {prose(9000 + i, 40)}") for i in range(400)]
+    few, many = (jobs_of(spark, rows[:n], block=8) for n in (50, 400))
+    assert few[0] == 50 and many[0] == 400
+    assert abs(few[1] - many[1]) <= 12  # adaptive execution splits or joins a few jobs, none is a round
+
+
+def test_prefixes_rule_out_no_similar_pair():
+    r = random.Random(12)
+    met = 0
+    for _ in range(3000):
+        base = Counter(r.randrange(40) for _ in range(r.randint(1, 60)))
+        other = base.copy()
+        for _ in range(r.choice([0, 1, 2, 8])):
+            other[r.randrange(60)] += r.choice([1, 1, 5])
+        pair = []
+        for x in (base, other):
+            h = np.sort(neardup.mix(np.array(sorted(x), np.uint64)))
+            back = {int(neardup.mix(np.array([k], np.uint64))[0]): n for k, n in x.items()}
+            pair.append((h, np.array([back[int(k)] for k in h])))
+        counts = np.random.default_rng(r.randrange(99)).integers(1, 4, neardup.CELLS) if met % 500 == 0 else counts
+        near = [set(h[neardup.prefix(h.view(np.int64), w, counts, 0.8)].tolist()) for h, w in pair]
+        if neardup.similarity(*pair[0], *pair[1]) >= 0.8:
+            met += 1
+            assert near[0] & near[1]
+    assert met > 1000
+
+
+def test_words_of_long_texts_and_unspaced_scripts(monkeypatch):
+    texts = [prose(7, 500), "", "x" * 400, "漢字かな กขค", "a  b", "é" * 50]
+    want = neardup.words(texts)
+    for piece in (1, 16, 100):
+        monkeypatch.setattr(neardup, "PIECE", piece)
+        got = neardup.words(texts)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    assert np.diff(want[1]).tolist() == [500, 0, 1, 7, 2, 1]
+
+
 def test_similarity_is_the_definition():
     r = random.Random(1)
     for _ in range(100):
