@@ -1,17 +1,19 @@
-"""python -m termloom.cli build | query | merge | evaluate | list | delete | rename"""
+"""python -m termloom.cli build | append | update | query | evaluate | merge | list | delete | rename"""
 
 from __future__ import annotations
 
 import argparse
 import logging
 import time
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from .catalog import Catalog
-from .config import CODECS, METHODS, SCORINGS, SEARCHES, IndexConfig, QueryConfig
+from .config import CODECS, DEFAULT_INDEX, DEFAULT_ROWS, METHODS, SCORINGS, SEARCHES, IndexConfig, QueryConfig
 from .operators import metrics
 from .operators.search import search, search_one
+from .operators.timing import Stages
 from .session import local_session
 from .sources import collections
 
@@ -24,12 +26,19 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--verbose", action="store_true")
     todo = out.add_subparsers(dest="command", required=True)
     b = todo.add_parser("build")
-    b.add_argument("name")
-    b.add_argument("path")
-    b.add_argument("--limit", type=int, default=-1)
-    b.add_argument("--stem", action="store_true")
-    b.add_argument("--no-stop", action="store_true")
-    b.add_argument("--codec", choices=CODECS, default="no")
+    b.add_argument("--limit", type=int, default=DEFAULT_ROWS, help="rows to read; 0: all")
+    a = todo.add_parser("append")
+    a.add_argument("--limit", type=int, default=0)
+    for p in (b, a):
+        p.add_argument("name")
+        p.add_argument("path")
+    u = todo.add_parser("update", help="change stored options; those of the index need --path")
+    u.add_argument("name")
+    u.add_argument("--path")
+    for p, default in ((b, DEFAULT_INDEX), (u, None)):
+        p.add_argument("--stem", action=argparse.BooleanOptionalAction, default=default and default.stem)
+        p.add_argument("--stop", action=argparse.BooleanOptionalAction, default=default and default.keep_stop, help="keep stop words")
+        p.add_argument("--codec", choices=CODECS, default=default and default.codec)
     q = todo.add_parser("query")
     q.add_argument("name")
     q.add_argument("text")
@@ -37,11 +46,11 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("name")
     e.add_argument("topics")
     e.add_argument("qrels")
-    for p in (q, e):
-        p.add_argument("--method", choices=METHODS, default="disjunctive")
-        p.add_argument("--scoring", choices=SCORINGS, default="BM25")
-        p.add_argument("--search", choices=SEARCHES, default="ternary")
-        p.add_argument("-k", type=int, default=10)
+    for p in (b, u, q, e):  # where nothing is said, what the index stores
+        p.add_argument("--method", choices=METHODS)
+        p.add_argument("--scoring", choices=SCORINGS)
+        p.add_argument("--search", choices=SEARCHES)
+        p.add_argument("-k", type=int)
     m = todo.add_parser("merge")
     m.add_argument("name")
     m.add_argument("parts", nargs="+")
@@ -60,23 +69,45 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     spark = spark or local_session()
     catalog = Catalog(spark, a.base)
     began = time.perf_counter()
+    said = {k: v for k in ("method", "scoring", "search", "k") if (v := getattr(a, k, None)) is not None}
     if a.command == "build":
         rows, bad = collections.read_collection(spark, a.path, a.limit)
-        built = catalog.build(rows, IndexConfig(a.name, a.stem, not a.no_stop, a.codec))
+        built = catalog.build(rows, IndexConfig(a.name, a.stem, a.stop, a.codec), QueryConfig(**said))
         log.info("%d rows rejected", bad.count())
         print(f"{a.name}: {built.n_docs} documents")
-    elif a.command in ("query", "evaluate"):
+    elif a.command == "append":
+        print(f"{a.name}: {catalog.append(a.name, collections.read_collection(spark, a.path, a.limit)[0])} documents more")
+    elif a.command == "update":
         found = catalog.load(a.name)
         if found is None:
             print(f"no index {a.name!r}")
             return 1
-        built, config = found[0], QueryConfig(a.method, a.scoring, a.k, a.search)
+        new = {k: v for k, v in {"stem": a.stem, "keep_stop": a.stop, "codec": a.codec}.items() if v is not None}
+        rows = collections.read_collection(spark, a.path)[0] if a.path else None
+        try:
+            catalog.update(a.name, replace(found[1], **said), replace(found[0].config, **new), rows)
+        except ValueError as error:
+            print(error)
+            return 1
+    elif a.command in ("query", "evaluate"):
+        stages = Stages()
+        with stages("load"):
+            found = catalog.load(a.name)
+        if found is None:
+            print(f"no index {a.name!r}")
+            return 1
+        built, config = found[0], replace(found[1], **said)
         if a.command == "query":
-            for r in search_one(spark, built, a.text, config).orderBy("rank").collect():
+            top = search_one(spark, built, a.text, config, stages)
+            with stages("score"):
+                rows = top.orderBy("rank").collect()
+            for r in rows:
                 print(f"{r['rank']}\t{r['docid']}\t{r['docno']}\t{r['score']}")
         else:
             run = search(built, collections.topics(spark, a.topics), config).withColumn("docid", F.col("docno"))
-            metrics.mean(metrics.per_topic(run, collections.qrels(spark, a.qrels))).show(vertical=True)
+            with stages("evaluate"):
+                metrics.mean(metrics.per_topic(run, collections.qrels(spark, a.qrels))).show(vertical=True)
+        log.info("%s", stages)
     elif a.command == "merge":
         built = catalog.merge(a.parts, _options(catalog, a.parts[0], a.name))
         print(f"{a.name}: {built.n_docs} documents")
@@ -90,8 +121,6 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     return 0
 
 
-
-
 def _options(catalog: Catalog, like: str, name: str) -> IndexConfig:
     m = catalog.metadata(like)
     if m is None:

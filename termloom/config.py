@@ -55,3 +55,8 @@ class QueryConfig:
 def rebuild_needed(old: IndexConfig, new: IndexConfig) -> bool:
     """Whether stored terms or lists would differ; query options never need a build."""
     return (old.stem, old.keep_stop, old.codec) != (new.stem, new.keep_stop, new.codec)
+
+
+#: What the command line takes where nothing is said: rows to read, and options of an index.
+DEFAULT_ROWS = 500
+DEFAULT_INDEX = IndexConfig(stem=True)

@@ -1,12 +1,12 @@
-"""Integer codes of posting lists: gaps, unary, Elias gamma, bit packing. Encoding is Column expressions.
+"""Integer codes of posting lists: gaps, unary, Elias gamma, bit packing. Bits of single numbers are Column expressions;
+lists are coded and decoded by Arrow batches in numpy.
 
 Gaps of a list start at first docid + 1, so that docid 0 has a code and decoding returns what was encoded.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,18 +23,91 @@ def gamma(n: Column) -> Column:
     return F.concat(F.repeat(F.lit("1"), F.length(bits) - 1), F.lit("0"), F.substr(bits, F.lit(2)))
 
 
-def coded(values: Column, codec: str) -> Column:
-    """Bits of an array of positive integers, as text."""
+def _valid(codec: str) -> str:
     if codec not in CODECS[1:]:
         raise ValueError(f"codec must be one of {', '.join(CODECS[1:])}; got {codec!r}")
-    return F.array_join(F.transform(values, unary if codec == "unary" else gamma), "")
+    return codec
+
+
+def pack_values(values: np.ndarray, sizes: np.ndarray, codec: str) -> list[bytes]:
+    """The bits of lists of positive integers, one list after another with `sizes` values each, packed with the first bit
+    highest and the last byte filled with ones. All lists are coded together, a bit position at a time."""
+    values, sizes = values.astype(np.int64), sizes.astype(np.int64)
+    if _valid(codec) == "unary":
+        head, low = values - 1, np.zeros(len(values), np.int64)
+    else:
+        head = low = np.maximum(0, np.floor(np.log2(np.maximum(values, 1))).astype(np.int64))
+        head = low = low - (values < (1 << low)) + (values >= (1 << (low + 1)))
+    length = head + 1 + low
+    ends = np.cumsum(sizes)
+    total = np.concatenate([[0], np.cumsum(length)])
+    bits = total[ends] - total[ends - sizes]
+    room = -(-bits // 8)
+    start = np.concatenate([[0], np.cumsum(room)[:-1]]) if len(room) else room
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = total[:-1] - total[(ends - sizes)[owner]] + 8 * start[owner]
+    out = np.ones(8 * int(room.sum()), np.uint8)
+    out[at + head] = 0
+    for k in range(int(low.max(initial=0))):
+        some = low > k
+        out[at[some] + head[some] + 1 + k] = (values[some] >> (low[some] - 1 - k)) & 1
+    data = np.packbits(out).tobytes()
+    return [data[a : a + n] for a, n in zip(start.tolist(), room.tolist(), strict=True)]
+
+
+def unpack_values(data: list[bytes], codec: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all lists, number of each list's): what pack_values packed; ones that end a last byte belong to none."""
+    _valid(codec)
+    room = np.array([len(d) for d in data], np.int64)
+    bits = np.unpackbits(np.frombuffer(b"".join(data), np.uint8))
+    edge = np.concatenate([[0], 8 * np.cumsum(room)])
+    zeros = np.flatnonzero(bits == 0)
+    if codec == "unary":
+        owner = np.searchsorted(edge, zeros, side="right") - 1
+        before = np.concatenate([[-1], zeros[:-1]]) if len(zeros) else zeros
+        return zeros - np.maximum(before, edge[owner] - 1), np.bincount(owner, minlength=len(data))
+    # Where the code that may start at a bit has its zero, and so where the next one would start.
+    after = np.concatenate([zeros, [len(bits)]])[np.searchsorted(zeros, np.arange(len(bits)))]
+    nxt = (2 * after - np.arange(len(bits)) + 1).tolist()
+    ends, starts, many = after.tolist(), [], []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        n = len(starts)
+        while a < b and ends[a] < b:
+            starts.append(a)
+            a = nxt[a]
+        many.append(len(starts) - n)
+    start = np.array(starts, np.int64)
+    zero = after[start] if len(start) else start
+    low, values = zero - start, np.ones(len(start), np.int64)
+    for k in range(int(low.max(initial=0))):
+        some = low > k
+        values[some] = 2 * values[some] + bits[zero[some] + 1 + k]
+    return values, np.array(many, np.int64)
+
+
+def pack_udf(codec: str):
+    """Column function: array of positive integers to binary."""
+    _valid(codec)
+
+    @F.pandas_udf("binary")
+    def packed(lists: pd.Series) -> pd.Series:
+        sizes = np.array([len(x) for x in lists], np.int64)
+        return pd.Series(pack_values(np.concatenate(list(lists)) if len(lists) else np.zeros(0), sizes, codec))
+
+    return packed
 
 
-def pack(bits: Column) -> Column:
-    """Bytes, first bit highest, the last byte filled with ones."""
-    whole = F.rpad(bits, (F.ceil(F.length(bits) / 8) * 8).cast("int"), "1")
-    octets = F.regexp_extract_all(whole, F.lit("[01]{8}"), F.lit(0))
-    return F.unhex(F.array_join(F.transform(octets, lambda o: F.lpad(F.conv(o, 2, 16), 2, "0")), ""))
+def decode_udf(codec: str):
+    """Column function: binary to array<bigint>."""
+    _valid(codec)
+
+    @F.pandas_udf("array<bigint>")
+    def decoded(data: pd.Series) -> pd.Series:
+        values, many = unpack_values([bytes(x) if x is not None else b"" for x in data], codec)
+        lists = pd.Series(np.split(values, np.cumsum(many)[:-1]), dtype=object)
+        return lists.where(data.notna().to_numpy(), None)
+
+    return decoded
 
 
 def gaps(docids: Column) -> Column:
@@ -42,51 +115,37 @@ def gaps(docids: Column) -> Column:
     return F.transform(docids, lambda d, i: d - F.coalesce(F.get(docids, i - 1), F.lit(-1)))
 
 
-def from_gaps(values: Column) -> Column:
-    step = lambda a, g: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(-1).cast("long")) + g))
-    return F.aggregate(values, F.array().cast("array<bigint>"), step)
+def from_gaps_udf():
+    """Column function: running sums of an array, less 1."""
 
+    @F.pandas_udf("array<bigint>")
+    def summed(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None else np.cumsum(x) - 1)
 
-def encode_list(docids: Column, freqs: Column, codec: str) -> Column:
-    """binary: gaps then frequencies."""
-    return pack(coded(F.concat(gaps(docids).cast("array<bigint>"), freqs.cast("array<bigint>")), codec))
+    return summed
 
 
-def decode_values(data: bytes, codec: str) -> list[int]:
-    """The integers of packed bits; ones that end the last byte belong to none."""
-    bits = "".join(f"{b:08b}" for b in data)
-    out, at = [], 0
-    while (zero := bits.find("0", at)) >= 0:
-        n = zero - at
-        if codec == "unary":
-            out.append(n + 1)
-            at = zero + 1
-        else:
-            out.append(int("1" + bits[zero + 1 : zero + 1 + n], 2))
-            at = zero + 1 + n
-    return out
+def encode_blocks(codec: str):
+    """Column function of docids, freqs and a block's start: binary of the gaps, the first one from the start, then the frequencies."""
+    _valid(codec)
 
+    @F.pandas_udf("binary")
+    def coded(docids: pd.Series, freqs: pd.Series, start: pd.Series) -> pd.Series:
+        lists = [np.concatenate([np.diff(d, prepend=s - 1), f]) for d, f, s in zip(docids, freqs, start, strict=True)]
+        return pd.Series(pack_values(np.concatenate(lists) if lists else np.zeros(0), np.array([len(x) for x in lists], np.int64), codec))
 
-def decode_udf(codec: str):
-    """Column function: binary to array<bigint>, by Arrow batches; the length of a code depends on what was read."""
-    if codec not in CODECS[1:]:
-        raise ValueError(f"codec must be one of {', '.join(CODECS[1:])}; got {codec!r}")
-
-    @F.pandas_udf("array<bigint>")
-    def decoded(data):
-        return data.map(lambda x: None if x is None else decode_values(bytes(x), codec))
-
-    return decoded
+    return coded
 
 
-def decode_list(data: Column, codec: str) -> Column:
-    """struct(docids, freqs) of encode_list(), by Arrow batches."""
-    if codec not in CODECS[1:]:
-        raise ValueError(f"codec must be one of {', '.join(CODECS[1:])}; got {codec!r}")
+def decode_blocks(codec: str):
+    """Column function of encode_blocks' binary and the start: struct(docids, freqs)."""
+    _valid(codec)
 
     @F.pandas_udf("struct<docids: array<bigint>, freqs: array<int>>")
-    def decoded(column: pd.Series) -> pd.DataFrame:
-        lists = [decode_values(bytes(x), codec) if x is not None else [] for x in column]
-        return pd.DataFrame({"docids": [list(accumulate(v[: len(v) // 2], initial=-1))[1:] for v in lists], "freqs": [v[len(v) // 2 :] for v in lists]})
+    def decoded(data: pd.Series, start: pd.Series) -> pd.DataFrame:
+        values, many = unpack_values([bytes(x) for x in data], codec)
+        lists = np.split(values, np.cumsum(many)[:-1]) if len(many) else []
+        docids = [np.cumsum(x[: len(x) // 2]) + s - 1 for x, s in zip(lists, start, strict=True)]
+        return pd.DataFrame({"docids": docids, "freqs": [x[len(x) // 2 :].astype(np.int32) for x in lists]})
 
-    return decoded(data)
+    return decoded

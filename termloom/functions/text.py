@@ -36,3 +36,10 @@ def terms_of(text: str, keep_stop: bool = True) -> list[str]:
     """tokens() of one short text on the driver, as a query is."""
     out = re.sub("[^a-zA-Z0-9]+", " ", text).lower().strip(" ").split(" ")
     return out if keep_stop else [t for t in out if t not in STOP_WORDS]
+
+
+def typed_key(value: Column, kind: str = "long") -> Column:
+    """A key read from text: as it is, or a whole number, the empty string being 0 and what is no number null."""
+    if kind == "string":
+        return value
+    return F.when(F.trim(value) == "", F.lit(0).cast("long")).otherwise(F.trim(value).try_cast("long"))

@@ -1,4 +1,4 @@
-"""The index: document table, postings and lexicon as DataFrames, built in one pass over the text."""
+"""The index: document table, postings and lexicon as DataFrames; the text is analysed once."""
 
 from __future__ import annotations
 
@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import IndexConfig
-from ..functions.codec import encode_list, gaps
+from ..functions.codec import encode_blocks
 from ..functions.porter import stem_udf
 from ..functions.text import tokens
+from .order import BITS
 
 
 @dataclass(frozen=True)
 class Index:
-    """docs(docid, docno, len), postings(tok, docid, tf) sorted by tok, lexicon(tok, df, cf), and their totals."""
+    """docs(docid, docno, len), postings(tok, docid, tf, len) sorted by tok, lexicon(tok, df, cf, max_tf, min_len), and totals.
+
+    A posting carries its document's length, so that weights need no join; max_tf and min_len bound a term's weights."""
 
     config: IndexConfig
     docs: DataFrame
@@ -47,84 +50,119 @@ def document_table(rows: DataFrame, config: IndexConfig) -> DataFrame:
     return rows.select("docid", "docno", F.size(tokens(F.col("text"), config.keep_stop)).alias("len"))
 
 
-def term_counts(rows: DataFrame, config: IndexConfig) -> DataFrame:
-    """(tok, docid, tf). Counting is partial before the shuffle; stems are computed for distinct terms of a batch."""
-    out = rows.select("docid", F.explode(tokens(F.col("text"), config.keep_stop)).alias("tok")).groupBy("tok", "docid").agg(F.count("*").cast("int").alias("tf"))
+def weighed_counts(rows: DataFrame, config: IndexConfig) -> DataFrame:
+    """(tok, docid, tf, len). Counting is partial before the shuffle; stems are computed for distinct terms of a batch."""
+    found = rows.select("docid", tokens(F.col("text"), config.keep_stop).alias("terms"))
+    out = found.select("docid", F.size("terms").alias("len"), F.explode("terms").alias("tok"))
+    out = out.groupBy("tok", "docid").agg(F.count("*").cast("int").alias("tf"), F.max("len").alias("len"))
     if config.stem:
         words = out.select("tok").distinct().withColumn("stem", stem_udf()("tok"))
-        out = out.join(words, "tok").groupBy(F.col("stem").alias("tok"), "docid").agg(F.sum("tf").cast("int").alias("tf"))
+        out = out.join(words, "tok").groupBy(F.col("stem").alias("tok"), "docid").agg(F.sum("tf").cast("int").alias("tf"), F.max("len").alias("len"))
     return out
 
 
+def term_counts(rows: DataFrame, config: IndexConfig) -> DataFrame:
+    """(tok, docid, tf)."""
+    return weighed_counts(rows, config).select("tok", "docid", "tf")
+
+
 def lexicon(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
+    """(tok, df, cf), and the largest tf and least length where postings have lengths."""
+    more = [F.max("tf").alias("max_tf"), F.min("len").alias("min_len")] if "len" in postings.columns else []
+    return postings.groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"), *more)
+
+
+def joined_lexicon(deltas: DataFrame) -> DataFrame:
+    """One lexicon of those of several batches of documents."""
+    return deltas.groupBy("tok").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
 
 
 def statistics(docs: DataFrame, lexicon_: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("total_len"), F.avg("len").alias("avg_len")).crossJoin(lexicon_.agg(F.count("*").alias("n_terms")))
 
 
-def build(spark: SparkSession, rows: DataFrame, config: IndexConfig, path: str) -> Index:
-    """Write the three tables of rows(docid, docno, text) under path and read them back: later queries scan no text.
+def write(spark: SparkSession, counts: DataFrame, names: DataFrame, config: IndexConfig, path: str) -> None:
+    """The tables of postings counts(tok, docid, tf, len) and of all documents names(docid, docno) under path.
 
-    Postings are range-partitioned and sorted by term, so that a query's terms prune files and row groups.
-    """
-    counts = term_counts(rows, config)
+    Postings are range-partitioned and sorted by term, so that a query's terms prune files and row groups. Lengths come
+    from the postings; a document without any has length 0."""
     parts = (config.parts,) if config.parts else ()
-    counts.repartitionByRange(*parts, "tok", "docid").sortWithinPartitions("tok", "docid").write.mode("overwrite").parquet(f"{path}/postings")
-    document_table(rows, config).write.mode("overwrite").parquet(f"{path}/docs")
+    counts.select("tok", "docid", "tf", "len").repartitionByRange(*parts, "tok", "docid").sortWithinPartitions("tok", "docid").write.mode("overwrite").parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
+    lengths = postings.groupBy("docid").agg(F.max("len").alias("len"))
+    docs = names.join(lengths, "docid", "left").select("docid", "docno", F.coalesce("len", F.lit(0)).alias("len"))
+    docs.repartitionByRange("docid").sortWithinPartitions("docid").write.mode("overwrite").parquet(f"{path}/docs")
     lexicon(postings).repartitionByRange("tok").sortWithinPartitions("tok").write.mode("overwrite").parquet(f"{path}/lexicon")
-    return load(spark, config, path)
+    if config.codec != "no":
+        posting_blocks(postings, config.codec).write.mode("overwrite").parquet(f"{path}/lists")
+
+
+def build(spark: SparkSession, rows: DataFrame, config: IndexConfig, path: str) -> Index:
+    """Write the tables of rows(docid, docno, text) under path and read them back: later queries scan no text."""
+    write(spark, weighed_counts(rows, config), rows.select("docid", "docno"), config, path)
+    return load(spark, config, [path])
 
 
-def load(spark: SparkSession, config: IndexConfig, path: str) -> Index:
-    docs = spark.read.parquet(f"{path}/docs")
+def load(spark: SparkSession, config: IndexConfig, paths: list[str], lexicons: list[str] | None = None) -> Index:
+    """The index of batches of documents, each with its tables under a path; lexicons: where the batches' terms are."""
+    docs = spark.read.parquet(*[f"{p}/docs" for p in paths])
     n, total = docs.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
-    return Index(config, docs, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lexicon"), int(n), int(total))
+    lexicons = lexicons or [f"{p}/lexicon" for p in paths]
+    terms = spark.read.parquet(*lexicons)
+    return Index(config, docs, spark.read.parquet(*[f"{p}/postings" for p in paths]), terms if len(lexicons) == 1 else joined_lexicon(terms), int(n), int(total))
 
 
-def posting_lists(postings: DataFrame, codec: str = "no") -> DataFrame:
-    """(tok, docids, freqs), or (tok, n, code) with a codec: an export, one row a term. Queries read the rows instead, as
-    a frequent term's list has no bound."""
-    rows = postings.groupBy("tok").agg(F.array_sort(F.collect_list(F.struct(F.col("docid"), F.col("tf")))).alias("p"))
+def posting_blocks(postings: DataFrame, codec: str = "no") -> DataFrame:
+    """(tok, block, docids, freqs), or (tok, block, n, code) with a codec: a term's postings, ascending, in rows of one block of
+    2 ** BITS document ids each, so that a frequent term is many bounded rows. A block's first id is coded from its start."""
+    block = F.shiftright("docid", BITS).alias("block")
+    rows = postings.groupBy("tok", block).agg(F.array_sort(F.collect_list(F.struct(F.col("docid"), F.col("tf")))).alias("p"))
     if codec == "no":
-        return rows.select("tok", F.col("p.docid").alias("docids"), F.col("p.tf").alias("freqs"))
-    return rows.select("tok", F.size("p").alias("n"), encode_list(F.col("p.docid"), F.col("p.tf"), codec).alias("code"))
+        return rows.select("tok", "block", F.col("p.docid").alias("docids"), F.col("p.tf").alias("freqs"))
+    return rows.select("tok", "block", F.size("p").alias("n"), encode_blocks(codec)(F.col("p.docid"), F.col("p.tf"), F.shiftleft("block", BITS)).alias("code"))
 
 
-def posting_gaps(postings: DataFrame) -> DataFrame:
-    """(tok, docid, gap): difference to the docid before, the first one's to 0."""
-    before = F.lag("docid", 1, 0).over(Window.partitionBy("tok").orderBy("docid"))
-    return postings.select("tok", "docid", (F.col("docid") - before).alias("gap"))
+def posting_gaps(postings: DataFrame, before_first: int = 0) -> DataFrame:
+    """(tok, docid, gap) and all else postings have: difference to the docid before, the first one's to before_first. Gaps
+    are taken within blocks of ids, whose first ones then get the last id of the block before."""
+    rows = postings.withColumn("block", F.shiftright("docid", BITS))
+    last = rows.groupBy("tok", "block").agg(F.max("docid").alias("last"))
+    edge = F.lag("last", 1, before_first).over(Window.partitionBy("tok").orderBy("block"))
+    before = F.lag("docid").over(Window.partitionBy("tok", "block").orderBy("docid"))
+    out = rows.withColumn("before", before).join(last.select("tok", "block", edge.alias("edge")), ["tok", "block"])
+    return out.withColumn("gap", F.col("docid") - F.coalesce("before", "edge")).select(*postings.columns, "gap")
 
 
 def gap_decode(gapped: DataFrame, order: str = "at") -> DataFrame:
-    """Running sums of gaps."""
-    return gapped.withColumn("docid", F.sum("gap").over(Window.partitionBy("tok").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def list_gaps(docids: Column) -> Column:
-    return gaps(docids)
+    """Running sums of gaps by an integer order, within blocks of it and then over blocks."""
+    rows = gapped.withColumn("block", F.shiftright(order, BITS))
+    sums = rows.groupBy("tok", "block").agg(F.sum("gap").alias("all"))
+    base = F.coalesce(F.sum("all").over(Window.partitionBy("tok").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.sum("gap").over(Window.partitionBy("tok", "block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("inner", inner).join(sums.select("tok", "block", base.alias("base")), ["tok", "block"])
+    return out.withColumn("docid", F.col("base") + F.col("inner")).select(*gapped.columns, "docid")
 
 
 def content_ranges(docs: DataFrame, key: str = "docno") -> DataFrame:
-    """(lo, hi): the fewest closed ranges that cover the keys. Ranges are joined within blocks of keys first, then the
-    blocks' few edges among themselves."""
-    block = F.floor(F.col(key) / 100_000)
-    rows = docs.select(F.col(key).alias("v"), block.alias("block")).where("v is not null").distinct()
+    """(lo, hi): the fewest closed ranges that cover the keys. Ranges are joined within blocks of keys; those that touch a
+    block's edge are joined within blocks of blocks, and the few that touch those's among themselves."""
+    span, wide = 1 << BITS, 1 << 2 * BITS
+    rows = docs.select(F.col(key).cast("long").alias("v")).where("v is not null").distinct().withColumn("block", F.shiftright("v", BITS))
     island = F.col("v") - F.row_number().over(Window.partitionBy("block").orderBy("v"))
-    within = rows.withColumn("island", island).groupBy("block", "island").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return coalesce_ranges(within.select("lo", "hi"))
+    within = rows.withColumn("island", island).groupBy("block", "island").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select("lo", "hi")
+    touches = lambda n: (F.pmod("lo", F.lit(n)) == 0) | (F.pmod("hi", F.lit(n)) == n - 1)
+    near = coalesce_ranges(within.where(touches(span)), F.shiftright("lo", 2 * BITS))
+    return within.where(~touches(span)).union(near.where(~touches(wide))).union(coalesce_ranges(near.where(touches(wide))))
 
 
-def coalesce_ranges(ranges: DataFrame) -> DataFrame:
-    """Overlapping or adjacent (lo, hi) joined. One window over ranges, which are far fewer than ids."""
-    order = Window.orderBy("lo", "hi")
+def coalesce_ranges(ranges: DataFrame, *within: Column) -> DataFrame:
+    """Overlapping or adjacent (lo, hi) joined, in each group of `within`."""
+    ranges = ranges.withColumn("group", F.struct(F.lit(0), *within))
+    order = Window.partitionBy("group").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = ranges.withColumn("new", F.when(reach.isNull() | (F.col("lo") > reach + 1), 1).otherwise(0))
     marked = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("lo", "hi")
+    return marked.groupBy("group", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("lo", "hi")
 
 
 def covered(value: int, ranges: DataFrame) -> bool:

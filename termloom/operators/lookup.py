@@ -28,6 +28,17 @@ def posting_next_geq(docids: Column, docid: Column | int) -> Column:
     return F.get(F.filter(docids, lambda d: d >= docid), F.lit(0))
 
 
+def next_posting(postings: DataFrame, docid: int) -> DataFrame:
+    """(tok, docid): each term's first docid that is `docid` or more; statistics of docid prune row groups, and no list is gathered."""
+    return postings.where(F.col("docid") >= docid).groupBy("tok").agg(F.min("docid").alias("docid"))
+
+
 def document_lengths(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(docid, len) of the wanted docids of positive length."""
     return docs.join(wanted.select("docid").distinct(), "docid", "left_semi").where("len > 0").select("docid", "len")
+
+
+def cursor(docids: Column, freqs: Column, at: Column | int) -> Column:
+    """struct(docid, freq, next) of a posting list's place `at`, from 0: null past its end, next being the place that follows or null."""
+    at = at if isinstance(at, Column) else F.lit(at)
+    return F.when(at < F.size(docids), F.struct(F.get(docids, at).alias("docid"), F.get(freqs, at).cast("int").alias("freq"), F.when(at + 1 < F.size(docids), at + 1).alias("next")))

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from ..config import IndexConfig
 from .index import document_table, lexicon, missing_ids, term_counts
+from .order import ordinals
 
 
 def split(rows: DataFrame, parts: int) -> DataFrame:
-    """rows with part_id, ranges of docno of about equal size, and docids counted from 0 in each."""
+    """rows with part_id, ranges of docno of about equal size, and docids counted from 0 in each. Places are found over ids
+    alone; the text is only joined to them."""
     edges = rows.stat.approxQuantile("docno", [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
     part = sum((F.when(F.col("docno") > e, 1).otherwise(0) for e in edges), F.lit(0))
-    local = F.row_number().over(Window.partitionBy("part_id").orderBy("docno", "docid")) - 1
-    return rows.withColumn("part_id", part).withColumn("docid", local.cast("long"))
+    names = rows.select(F.col("docno").alias("no"), F.col("docid").alias("was"), part.alias("part_id"))
+    placed = ordinals(names, "no", "local", by=("part_id",), ties=("was",))
+    out = rows.join(placed, rows.docno.eqNullSafe(placed["no"]) & rows.docid.eqNullSafe(placed.was))
+    return out.select(*[rows[c] for c in rows.columns if c != "docid"], "part_id", F.col("local").alias("docid"))
 
 
 def renumber(docs: DataFrame) -> DataFrame:
@@ -23,8 +27,9 @@ def renumber(docs: DataFrame) -> DataFrame:
     A partition's start is a sum over the partitions before it, of which there are few."""
     heads = docs.groupBy("part_id").agg(F.min_by("docno", "docid").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("first", "part_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("part_id").orderBy("docid")) - 1
-    return docs.join(heads.select("part_id", before.alias("base")), "part_id").select("part_id", "docid", "docno", (F.col("base") + place).cast("long").alias("global_id"))
+    placed = ordinals(docs.select("part_id", "docid", "docno"), "docid", "place", by=("part_id",))
+    out = placed.join(heads.select("part_id", before.alias("start")), "part_id")
+    return out.select("part_id", "docid", "docno", (F.col("start") + F.col("place")).cast("long").alias("global_id"))
 
 
 def merge_postings(postings: DataFrame, docs: DataFrame) -> DataFrame:

@@ -20,7 +20,10 @@ def work_dir(spark: SparkSession) -> str:
     """A folder of this application, in the cluster's shared checkpoint folder if it names one."""
     app = spark.sparkContext.applicationId
     if app not in _BASES:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        sc = spark.sparkContext
+        base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not base:
             own = tempfile.TemporaryDirectory(prefix="termloom-")
             atexit.register(own.cleanup)
@@ -38,3 +41,8 @@ def index(spark: SparkSession, sf_dir: str, config: IndexConfig = IndexConfig())
     if key not in _BUILT:
         _BUILT[key] = build(spark, rows(spark, sf_dir), config, f"{work_dir(spark)}/{len(_BUILT)}")
     return _BUILT[key]
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one."""
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"

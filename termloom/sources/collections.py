@@ -21,43 +21,58 @@ def _split_valid(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def numbered(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
-    """(docid, line) of text or .gz files: docid is the line's ordinal, bad lines included; a positive limit keeps the
-    first so many. Lines are counted by input split first; a split's own counter is the low part of Spark's row id."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.spark_partition_id().alias("split"), F.monotonically_increasing_id().alias("id"))
-    before = F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
-    starts = lines.groupBy("split").agg(F.count("*").alias("n")).select(F.col("split").alias("at"), F.coalesce(before, F.lit(0)).alias("start"))
-    out = lines.join(F.broadcast(starts), lines.split == starts["at"]).select((F.col("start") + F.col("id").bitwiseAND(F.lit(2**33 - 1))).alias("docid"), "line")
+    """(docid, line) of text or .gz files: docid is the line's ordinal over all files, by path and place in them, bad lines
+    included; a positive limit keeps the first so many. Lines are counted for each input split, whose lines follow each other."""
+    at = ["_metadata.file_path", "_metadata.file_block_start"]
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col(at[0]).alias("file"), F.col(at[1]).alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))  # a row a split
+    starts = splits.select(F.col("file").alias("file_"), F.col("block").alias("block_"), "first", F.coalesce(before, F.lit(0)).alias("start"))
+    out = lines.join(starts, (lines.file == starts.file_) & (lines.block == starts.block_)).select((F.col("start") + F.col("id") - F.col("first")).alias("docid"), "line")
     return out.where(F.col("docid") < limit) if limit > 0 else out
 
 
-def archived(spark: SparkSession, path: str, limit: int = -1, member: str = MEMBER) -> DataFrame:
-    """(docid, line) of a member of .tar.gz archives, read as a stream on an executor; bytes that aren't UTF-8 are replaced."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+def archived(spark: SparkSession, path: str, limit: int = -1, member: str = MEMBER, most: int = 1 << 30) -> DataFrame:
+    """(docid, line) of a member of .tar.gz archives, read as a stream on an executor; bytes that aren't UTF-8 are replaced.
+
+    Archives on mounted file systems are streamed from there. Of others the packed bytes are read as one value, so those of
+    over `most` bytes are refused: unpack them, which also lets many tasks read them."""
+    from urllib.parse import unquote, urlparse
+
+    files = spark.read.format("binaryFile").load(path)
+    places = files.select("path", "length").collect()  # a row an archive
+    local = all(urlparse(r["path"]).scheme in ("", "file") for r in places)
+    if not local and (large := [r["path"] for r in places if r["length"] > most]):
+        raise ValueError(f"unpack {', '.join(large)}: an archive of over {most} bytes can be streamed from a mounted file system alone")
+    files = files.select("path").withColumn("content", F.lit(None).cast("binary")) if local else files.select("path", "content")
+
+    def lines(stream) -> Iterator[str]:
+        import tarfile
+
+        with tarfile.open(fileobj=stream, mode="r|gz") as tar:
+            for info in tar:
+                if info.name.removeprefix("./") == member:
+                    for line in tar.extractfile(info):
+                        yield line.decode("utf-8", "replace").rstrip("\n")
+                    return
+        raise ValueError(f"no member {member!r} in the archive")
 
     def run(batches) -> Iterator:
         import io
-        import tarfile
+        from itertools import islice
 
         import pandas as pd
 
         n = 0
         for pdf in batches:
-            for content in pdf["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
-                    stream = io.TextIOWrapper(tar.extractfile(member), encoding="utf-8", errors="replace", newline="\n")
-                    held: list[str] = []
-                    for line in stream:
-                        if 0 < limit <= n + len(held):
-                            break
-                        held.append(line.rstrip("\n"))
-                        if len(held) == 10_000:
-                            yield pd.DataFrame({"docid": range(n, n + len(held)), "line": held})
-                            n, held = n + len(held), []
-                    if held:
+            for where, content in zip(pdf["path"], pdf["content"], strict=True):
+                with open(unquote(urlparse(where).path), "rb") if local else io.BytesIO(content) as stream:
+                    found = lines(stream)
+                    while held := list(islice(found, min(10_000, limit - n) if limit > 0 else 10_000)):
                         yield pd.DataFrame({"docid": range(n, n + len(held)), "line": held})
                         n += len(held)
 
-    return files.mapInPandas(run, "docid long, line string")
+    return files.coalesce(1).mapInPandas(run, "docid long, line string")
 
 
 def read_collection(spark: SparkSession, path: str, limit: int = -1) -> tuple[DataFrame, DataFrame]:
@@ -69,9 +84,10 @@ def read_collection(spark: SparkSession, path: str, limit: int = -1) -> tuple[Da
 
 
 def from_table(df: DataFrame, limit: int = -1, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """A table whose ids are docids and docnos alike; rows without id or text are rejected."""
+    """A table whose ids are docids and docnos alike; rows without id or text are rejected. A positive limit keeps the
+    first so many rows by id, rejects included."""
     rows = df.select(F.col(id_).cast("long").alias("docid"), F.col(id_).cast("long").alias("docno"), F.col(text).alias("text"))
-    rows = rows.where(F.col("docid") < limit) if limit > 0 else rows
+    rows = rows.orderBy(F.asc_nulls_last("docid"), "text").limit(limit) if limit > 0 else rows
     ok = F.col("docno").isNotNull() & (F.coalesce(F.col("text"), F.lit("")) != "")
     return rows.where(ok), rows.where(~ok).select("docid", F.col("text").alias("line"))
 

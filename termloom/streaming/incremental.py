@@ -10,8 +10,8 @@ from ..sources.collections import from_table
 
 
 def follow(spark: SparkSession, folder: str, schema: str, catalog: Catalog, name: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append new Parquet files of doc_id and text in folder to an index. A batch that is replayed adds nothing, as
-    documents already covered are left out."""
+    """Append new Parquet files of doc_id and text in folder to an index. Each micro-batch is a batch of tables of its own,
+    seen once it is whole; one that is replayed adds nothing, as documents already covered are left out."""
     stream = spark.readStream.schema(schema).parquet(folder)
 
     def add(batch, _):

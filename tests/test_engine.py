@@ -1,6 +1,8 @@
 import gzip
 import io
+import random
 import tarfile
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +11,12 @@ from termloom.catalog import Catalog
 from termloom.cli import main
 from termloom.config import IndexConfig, QueryConfig, rebuild_needed
 from termloom.functions.charts import heat_table
+from termloom.functions.codec import decode_blocks, pack_values, unpack_values
 from termloom.operators import index as ix
 from termloom.operators import evaluate, lookup, merge, metrics
-from termloom.operators.search import pruned_search, search, search_one, with_bounds
+from termloom.operators.order import ordinals
+from termloom.operators.search import pruned_search, search, search_one
+from termloom.operators.timing import Stages
 from termloom.sources import collections
 from termloom.sources.pairs import read_pairs
 from termloom.streaming.incremental import follow
@@ -70,9 +75,8 @@ def test_pruning_changes_nothing(spark, tmp_path):
     built = ix.build(spark, rows, IndexConfig("p"), str(tmp_path / "p"))
     for scoring in WANT:
         config = QueryConfig("disjunctive", scoring, 5)
-        bounds = with_bounds(built, config)
         for text in ("common rare", "rare w3 common", "zz", "w1 w2 w3"):
-            full, cut = (x.orderBy("rank").collect() for x in (search_one(spark, built, text, config), pruned_search(spark, built, text, config, bounds)))
+            full, cut = (x.orderBy("rank").collect() for x in (search_one(spark, built, text, config), pruned_search(spark, built, text, config, worth=0)))
             assert full == cut
 
 
@@ -85,8 +89,32 @@ def test_ranges(spark):
     text = ix.ranges_to_text([(5, 10), (20, 20)])
     assert text == "5,10;20,20" and ix.ranges_from_text(text) == [(5, 10), (20, 20)]
     assert ix.ranges_to_text([]) == "empty" and ix.ranges_from_text("empty") == []
-    wide = spark.createDataFrame([(99_990 + i,) for i in range(30)], "docno long")
-    assert [tuple(r) for r in ix.content_ranges(wide).collect()] == [(99_990, 100_019)]
+    for edge in (99_990, 65_530, (1 << 32) - 10, -15):  # over the edges of blocks
+        wide = spark.createDataFrame([(edge + i,) for i in range(30)] + [(edge + 40,)], "docno long")
+        assert sorted(map(tuple, ix.content_ranges(wide).collect())) == [(edge, edge + 29), (edge + 40, edge + 40)]
+    many = sorted({r.randrange(-300_000, 300_000) for r in [random.Random(1)] for _ in range(2000)} | set(range(60_000, 140_000)))
+    want = [(g[0], g[-1]) for g in [[v for _, v in g] for _, g in groupby(enumerate(many), lambda x: x[1] - x[0])]]
+    assert sorted(map(tuple, ix.content_ranges(spark.createDataFrame([(v,) for v in many], "docno long")).collect())) == want
+
+
+def test_ordinals_in_blocks(spark):
+    keys = [*range(65_500, 65_600), 5, (1 << 16) * 3 + 1, (1 << 33) + 7, (1 << 50), -4]
+    df = spark.createDataFrame([(k, i % 2) for i, k in enumerate(keys)], "k long, g int")
+    got = {r["k"]: r["o"] for r in ordinals(df, "k", "o").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+    got = {r["k"]: r["o"] for r in ordinals(df, "k", "o", by=("g",)).collect()}
+    assert got == {k: i for g in (0, 1) for i, k in enumerate(sorted(keys[g::2]))}
+
+
+def test_gaps_over_blocks(spark):
+    ids = [0, 3, 65_535, 65_536, 65_540, 200_000, 1 << 20]
+    df = spark.createDataFrame([("a", d, 1) for d in ids] + [("b", 70_000, 2)], "tok string, docid long, tf int")
+    gapped = ix.posting_gaps(df)
+    assert [r["gap"] for r in gapped.where("tok = 'a'").orderBy("docid").collect()] == [b - a for a, b in zip([0, *ids], ids, strict=False)]
+    back = ix.gap_decode(gapped.withColumnRenamed("docid", "at"))
+    assert back.where("at <> docid").count() == 0 and back.count() == 8
+    coded = ix.posting_blocks(df, "gamma").withColumn("back", decode_blocks("gamma")(F.col("code"), F.shiftleft("block", 16)))
+    assert sorted(d for r in coded.where("tok = 'a'").collect() for d in r["back"]["docids"]) == ids
 
 
 def test_partitions_merge_to_the_whole(spark, toy):
@@ -164,6 +192,8 @@ def test_catalog(spark, tmp_path):
     assert catalog.append("x", spark.createDataFrame([(9, 2, "dup"), (10, 10, "a d")], "docid long, docno long, text string")) == 1
     assert catalog.append("x", spark.createDataFrame([(10, 10, "a d")], "docid long, docno long, text string")) == 0
     assert catalog.load("x")[0].n_docs == 4
+    assert {r["docid"] for r in catalog.load("x")[0].docs.collect()} == {0, 1, 2, 3}
+    assert [r["docno"] for r in search_one(spark, catalog.load("x")[0], "d", QueryConfig()).collect()] == [10]
     catalog.rename("x", "y")
     assert catalog.names() == ["y"] and catalog.load("y")[0].lexicon.where("tok = 'a'").first()["df"] == 3
     other = spark.createDataFrame([(0, 2, "other"), (1, 50, "b")], "docid long, docno long, text string")
@@ -193,6 +223,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*base, "query", "toy", "a b", "--scoring", "TFIDF"], spark) == 0
     assert "1\t0\t0\t1.785124" in capsys.readouterr().out
     assert main([*base, "query", "none", "a"], spark) == 1
+    assert main([*base, "update", "toy", "--scoring", "TFIDF", "--method", "conjunctive", "-k", "1"], spark) == 0
+    capsys.readouterr()
+    assert main([*base, "query", "toy", "a b"], spark) == 0
+    assert capsys.readouterr().out == "1\t0\t0\t1.785124\n"
+    assert main([*base, "update", "toy", "--no-stem"], spark) == 1 and main([*base, "update", "toy", "--no-stem", "--path", str(tmp_path / "c.tsv")], spark) == 0
+    (tmp_path / "d.tsv").write_text("7\tdd a\n")
+    assert main([*base, "append", "toy", str(tmp_path / "d.tsv")], spark) == 0
     (tmp_path / "t").write_text("1\ta b\n")
     (tmp_path / "q").write_text("1 0 0 1\n")
     assert main([*base, "evaluate", "toy", str(tmp_path / "t"), str(tmp_path / "q")], spark) == 0
@@ -224,3 +261,87 @@ def test_grid_is_resumed(spark, toy, tmp_path):
     assert heat_table(got, "map", [1, 2]).count() == 8
     assert rebuild_needed(IndexConfig(), IndexConfig(stem=True)) and not rebuild_needed(IndexConfig("a"), IndexConfig("b"))
     toy.persist().unpersist()
+
+
+def test_append_numbers_documents_anew(spark, tmp_path):
+    """Two files whose lines are both numbered from 0."""
+    catalog = Catalog(spark, str(tmp_path / "base"), compact=3)
+    for i, words in enumerate((["apple pie", "banana"], ["cherry", "date apple"], ["elder", "fig apple"], ["grape"])):
+        (tmp_path / f"{i}.tsv").write_text("".join(f"{100 * (i + 1) + j}\t{w}\n" for j, w in enumerate(words)))
+        rows = collections.read_collection(spark, str(tmp_path / f"{i}.tsv"))[0]
+        catalog.append("x", rows) if i else catalog.build(rows, IndexConfig("x", codec="unary"))
+    built, _ = catalog.load("x")
+    assert sorted((r["docid"], r["docno"]) for r in built.docs.collect()) == list(enumerate([100, 101, 200, 201, 300, 301, 400]))
+    assert [r["docno"] for r in search_one(spark, built, "cherry", QueryConfig()).collect()] == [200]
+    assert {r["docno"] for r in search_one(spark, built, "apple", QueryConfig()).collect()} == {100, 201, 301}
+    assert built.lexicon.where("tok = 'apple'").first()["df"] == 3 and len(catalog.metadata("x")["lexicons"]) == 2
+    assert catalog.metadata("x")["content"] == "100,101;200,201;300,301;400,400" and catalog.metadata("x")["n_terms"] == 8
+
+
+def test_a_failed_change_is_not_seen(spark, tmp_path, monkeypatch):
+    catalog = Catalog(spark, str(tmp_path / "base"))
+    catalog.build(spark.createDataFrame(TOY, "docid long, docno long, text string"), IndexConfig("x"))
+    more = spark.createDataFrame([(0, 9, "a z")], "docid long, docno long, text string")
+    with monkeypatch.context() as m:
+        m.setattr(Catalog, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            catalog.append("x", more)
+    assert catalog.load("x")[0].n_docs == 3 and catalog.load("x")[0].lexicon.where("tok = 'a'").first()["cf"] == 3
+    assert catalog.append("x", more) == 1 and catalog.append("x", more) == 0
+    assert catalog.load("x")[0].lexicon.where("tok = 'a'").first()["cf"] == 4
+    assert len([p for p in (tmp_path / "base" / "x").iterdir() if p.name.startswith("batch")]) == 2
+
+
+def test_stored_options(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "base"))
+    rows = spark.createDataFrame([(0, 0, "cats cat"), (1, 1, "dog")], "docid long, docno long, text string")
+    catalog.build(rows, IndexConfig("x"))
+    catalog.update("x", QueryConfig("conjunctive", "BM11", 7, "skipping"))
+    assert catalog.load("x")[1] == QueryConfig("conjunctive", "BM11", 7, "skipping")
+    with pytest.raises(ValueError):
+        catalog.update("x", config=IndexConfig("x", stem=True))
+    catalog.update("x", config=IndexConfig("x", stem=True), rows=rows)
+    built, query = catalog.load("x", keep=True)
+    assert built.config.stem and query.k == 7 and {r["tok"] for r in built.lexicon.collect()} == {"cat", "dog"}
+    assert built.lexicon.is_cached
+    catalog.flush()
+    assert not built.lexicon.is_cached
+    with pytest.raises(ValueError):
+        catalog.update("nope")
+
+
+def test_limit_counts_rows(spark):
+    df = spark.createDataFrame([(1000 + i, "t" if i % 4 else "") for i in range(20)], "doc_id long, text string")
+    rows, bad = collections.from_table(df, 5)
+    assert sorted(r["docid"] for r in rows.collect()) == [1001, 1002, 1003] and sorted(r["docid"] for r in bad.collect()) == [1000, 1004]
+
+
+def test_archives_are_streamed(spark, tmp_path):
+    with tarfile.open(tmp_path / "c.tar.gz", "w:gz") as tar:
+        for name, body in (("other.txt", "0\tno\n"), ("collection.tsv", "".join(f"{i}\tw{i}\n" for i in range(25_000)))):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body.encode()))
+    got = collections.read_collection(spark, str(tmp_path / "c.tar.gz"))[0]
+    assert got.where("docid = docno and text = concat('w', docno)").count() == 25_000
+    assert collections.read_collection(spark, str(tmp_path / "c.tar.gz"), 12_345)[0].count() == 12_345
+    with pytest.raises(Exception, match="no member"):
+        collections.archived(spark, str(tmp_path / "c.tar.gz"), member="x").count()
+
+
+def test_packed_lists_of_large_numbers():
+    lists = [[1], [], [8_000_000, 1, 2], [3] * 9, [2**40, 5]]
+    import numpy as np
+
+    for codec, some in (("gamma", lists), ("unary", lists[:4])):
+        flat = np.array([v for x in some for v in x])
+        data = pack_values(flat, np.array([len(x) for x in some]), codec)
+        values, many = unpack_values(data, codec)
+        assert values.tolist() == flat.tolist() and many.tolist() == [len(x) for x in some]
+    assert len(pack_values(np.array([8_000_000]), np.array([1]), "unary")[0]) == 1_000_000
+
+
+def test_stages_are_timed(spark, toy):
+    stages = Stages()
+    search_one(spark, toy, "a b", QueryConfig(), stages).collect()
+    assert list(stages.seconds) == ["analyse", "lexicon", "plan"] and "lexicon" in str(stages)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from termloom.config import IndexConfig, QueryConfig
 from termloom.functions import codec
 from termloom.functions.porter import stem
-from termloom.functions.text import STOP_WORDS, clean, tokens
+from termloom.functions.text import STOP_WORDS, clean, tokens, typed_key
 
 
 def test_analyser(spark):
@@ -32,18 +33,19 @@ def test_codes(spark):
     got = {r["n"]: (r["u"], r["g"]) for r in df.select("n", codec.unary(F.col("n")).alias("u"), codec.gamma(F.col("n")).alias("g")).collect()}
     assert {n: g for n, (_, g) in got.items()} == {1: "0", 2: "100", 4: "11000", 9: "1110001", 13: "1110101"}
     assert got[4][0] == "1110" and got[9][0] == "111111110"
-    packed = spark.createDataFrame([("110010111010",)], ["b"]).select(codec.pack(F.col("b")).alias("x")).first()["x"]
-    assert bytes(packed) == bytes.fromhex("CBAF")
-    assert codec.decode_values(bytes(packed), "unary") == [3, 1, 2, 4, 2]
-    with pytest.raises(ValueError):
-        codec.coded(F.col("x"), "zip")
+    assert codec.pack_values(np.array([3, 1, 2, 4, 2]), np.array([5]), "unary") == [bytes.fromhex("CBAF")]
+    assert codec.unpack_values([bytes.fromhex("CBAF")], "unary")[0].tolist() == [3, 1, 2, 4, 2]
+    for make in (codec.pack_udf, codec.decode_udf, codec.encode_blocks, codec.decode_blocks):
+        with pytest.raises(ValueError):
+            make("zip")
 
 
 @pytest.mark.parametrize("name", ["unary", "gamma"])
 def test_lists_survive_their_codes(spark, name):
     lists = [([0], [1]), ([0, 1, 5, 90], [3, 1, 2, 7]), ([7, 8, 300], [1, 1, 1])]
     df = spark.createDataFrame(lists, "d array<long>, f array<int>")
-    out = df.withColumn("back", codec.decode_list(codec.encode_list(F.col("d"), F.col("f"), name), name)).withColumn("sum", codec.from_gaps(codec.gaps(F.col("d"))))
+    coded = codec.encode_blocks(name)(F.col("d"), F.col("f"), F.lit(0))
+    out = df.withColumn("back", codec.decode_blocks(name)(coded, F.lit(0))).withColumn("sum", codec.from_gaps_udf()(codec.gaps(F.col("d"))))
     for r in out.collect():
         assert r["back"]["docids"] == r["d"] == r["sum"] and r["back"]["freqs"] == r["f"]
 
@@ -55,7 +57,15 @@ def test_decoding_inverts_coding(values):
         code = (lambda n: "1" * (n - 1) + "0") if name == "unary" else (lambda n: "1" * (n.bit_length() - 1) + "0" + f"{n:b}"[1:])
         bits = "".join(map(code, values))
         bits += "1" * (-len(bits) % 8)
-        assert codec.decode_values(int(bits, 2).to_bytes(len(bits) // 8, "big"), name) == values
+        data = int(bits, 2).to_bytes(len(bits) // 8, "big")
+        assert codec.unpack_values([b"", data, data], name)[0].tolist() == values * 2
+        assert codec.pack_values(np.array(values), np.array([len(values)]), name) == [data]
+
+
+def test_typed_keys(spark):
+    df = spark.createDataFrame([("",), (" 12",), ("x1",), (None,)], "v string")
+    assert [r[0] for r in df.select(typed_key(F.col("v"))).collect()] == [0, 12, None, None]
+    assert [r[0] for r in df.select(typed_key(F.col("v"), "string")).collect()] == ["", " 12", "x1", None]
 
 
 def test_options_are_checked():
