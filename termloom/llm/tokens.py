@@ -11,9 +11,10 @@ import numpy as np
 # White space by every definition of it, and all that some definition counts as white space.
 SPACE = " \t\n\r\x0b\x0c"
 DOUBTFUL = "\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿"
-#: White space and what follows it up to the next. No pre-token of the byte-level rule goes from a character that is
-#: no white space on into one that is, so the ids of a text are those of its words, one after another.
-WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+(?:(?<=[{DOUBTFUL}])[{SPACE}]+[^{SPACE}]*)*|[{SPACE}]+")
+#: A word of letters with the blank before it, where no other letter or mark can follow; else white space and what follows
+#: it up to the next. No pre-token of the byte-level rule goes on over the ends of these, so the ids of a text are those of
+#: its words, one after another: letters end a pre-token at any ASCII character but a letter, as does all else at white space.
+WORD = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ſ]++(?![^\x00-\x7f])|[{SPACE}]*[^{SPACE}]+(?:(?<=[{DOUBTFUL}])[{SPACE}]+[^{SPACE}]*)*|[{SPACE}]+")
 
 
 def default_path() -> str:
@@ -42,7 +43,7 @@ class Encoder:
     Each distinct word of a run of texts goes through the tokenizer once; up to `keep` words of up to 64 characters are
     remembered by a worker. Memory is bounded by a run of texts, by the longest word and by a text's ids."""
 
-    def __init__(self, path: str, keep: int = 300_000, span: int = 1 << 20):
+    def __init__(self, path: str, keep: int = 300_000, span: int = 1 << 22):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,14 +52,6 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.keep, self.span = keep, span
 
-    def _look(self, lists: list[list[str]]) -> dict[str, bytes]:
-        missing = list({w for x in lists for w in x}.difference(self.known))
-        coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, coded, strict=True)}
-        if len(self.known) < self.keep:
-            self.known.update((w, b) for w, b in new.items() if len(w) <= 64)
-        return _Two(new, self.known)
-
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         lists: list[list[str]] = []
@@ -77,8 +70,16 @@ class Encoder:
         yield from self._joined(lists)
 
     def _bytes(self, lists: list[list[str]]) -> list[bytes]:
-        get = self._look(lists).__getitem__
-        return [b"".join(map(get, x)) for x in lists]
+        known = self.known
+        new = list(set().union(*lists).difference(known))
+        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        known.update(zip(new, [np.array(e.ids, "<u4").tobytes() for e in coded], strict=True))
+        out = [b"".join([*map(known.__getitem__, x)]) for x in lists]
+        room = self.keep - (len(known) - len(new))
+        for i, w in enumerate(new):
+            if i >= room or len(w) > 64:
+                del known[w]
+        return out
 
     def _joined(self, lists: list[list[str]]) -> Iterator[np.ndarray]:
         return (np.frombuffer(b, "<u4") for b in self._bytes(lists))
@@ -87,17 +88,6 @@ class Encoder:
         return next(self.encode([text])).tolist()
 
 
-class _Two(dict):
-    """A small table before a large one."""
-
-    def __init__(self, new: dict, known: dict):
-        super().__init__(new)
-        self.known = known
-
-    def __missing__(self, word: str) -> bytes:
-        return self.known[word]
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
