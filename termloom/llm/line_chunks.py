@@ -31,13 +31,14 @@ def deduplicate(
     docs: DataFrame,
     divisor: int = 3,
     min_lines: int = 2,
-    min_chars: int = 80,
+    digits: int = 32,
 ) -> DataFrame:
     """(row, text, n_lines, n_removed) for each row of docs(doc_id, text, ...): its text without repeated chunks.
 
     Lines are hashed; a chunk ends where the rolling hash of two line hashes is 0 modulo `divisor`, so that the same
-    passage is cut alike wherever it stands. A chunk of at least min_lines lines and min_chars characters that
-    occurs more than once, compared byte by byte, stays at its first place (smallest doc_id, then line) alone.
+    passage is cut alike wherever it stands. A chunk of at least min_lines lines, however short, that
+    occurs more than once, compared byte by byte, stays at its first place (smallest doc_id, then line) alone. Places are
+    found by fingerprints of `digits` hexadecimal digits; those of fingerprints that different chunks share, by the chunks themselves.
 
     Null text stays null with 0 lines; empty text is one line; rows equal in doc_id and text are one document and get
     the same result; an empty table gives an empty result; extra columns come back untouched in `row`.
@@ -47,18 +48,15 @@ def deduplicate(
     lines = keyed.where("text is not null").select("doc_id", "key", "text", _line_hashes(F.col("text")).alias("hashes"))
     chunks = lines.select("doc_id", "key", "text", F.explode(_chunks(_starts(F.col("hashes"), divisor), F.size("hashes"), min_lines)).alias("c"))
     chunks = chunks.select("doc_id", "key", "c.s", "c.e", F.array_join(F.slice(F.split("text", "\n", -1), F.col("c.s") + 1, F.col("c.e") - F.col("c.s")), "\n").alias("chunk"))
-    chunks = chunks.where(F.length("chunk") >= min_chars).withColumn("print", F.unhex(F.md5("chunk")))
+    chunks = chunks.withColumn("print", F.unhex(F.substring(F.md5("chunk"), 1, digits)))
     # Grouping by the chunk itself is the byte comparison; copies meet within a task before anything is shuffled.
-    repeated = (
-        chunks.groupBy("print", "chunk")
-        .agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "s")).alias("at"))
-        .where("n > 1")
-        .groupBy("print")
-        .agg(F.count("*").alias("texts"), F.min("at").alias("at"))
-        .where("texts = 1")
-        .select("print", "at")
-    )
-    places = chunks.select("doc_id", "key", "s", "e", "print").join(cut(repeated), "print")
+    same = lambda df: df.groupBy("print", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "s")).alias("at"))
+    prints = cut(same(chunks).groupBy("print").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("at").alias("at")).where("n > 1"))
+    places = chunks.select("doc_id", "key", "s", "e", "print").join(prints.where("texts = 1").select("print", "at"), "print").drop("print")
+    shared = prints.where("texts > 1").select("print")
+    if not shared.isEmpty():
+        bytes_ = chunks.join(shared, "print", "left_semi")
+        places = places.union(bytes_.join(same(bytes_).where("n > 1"), ["print", "chunk"]).select("doc_id", "key", "s", "e", "at"))
     places = places.where((F.col("doc_id") != F.col("at.doc_id")) | (F.col("s") != F.col("at.s")))
     removed = places.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("gone"))
     found = keyed.join(removed, ["doc_id", "key"], "left")
@@ -141,7 +139,7 @@ h as (select doc_id, text, ls, [('0x' || substr(md5(x), 1, 7))::bigint for x in
 b as (select doc_id, text, ls, [i for i in range(len(ls)) if i = 0 or (i >= 2 and (hs[i - 1] * 8191 + hs[i]) % 3 = 0)] as st from h),
 c as (select doc_id, text, ls, unnest([{'s': st[k], 'e': coalesce(st[k + 1], len(ls))} for k in range(1, len(st) + 1)]) as c from b),
 d as (select doc_id, c.s as s, c.e as e, array_to_string(ls[c.s + 1 : c.e], chr(10)) as chunk from c where c.e - c.s >= 2),
-g as (select chunk, count(*) as n, min({'d': doc_id, 's': s}) as first from d where length(chunk) >= 80 group by chunk having count(*) > 1),
+g as (select chunk, count(*) as n, min({'d': doc_id, 's': s}) as first from d group by chunk having count(*) > 1),
 x as (select d.doc_id, d.s, d.e from d join g using (chunk) where d.doc_id <> g.first.d or d.s <> g.first.s),
 p as (select doc_id, s, e, unnest(range(s, e)) as i from x),
 r as (select doc_id, list(i) as gone from p group by doc_id)

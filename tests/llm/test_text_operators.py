@@ -36,7 +36,7 @@ def test_components(spark):
 def test_pseudonyms_keep_formats_and_links(spark):
     text = "card 4111 1111 1111 1111 ssn 123-45-6789 on 1984-02-29 call +1 (212) 555-0100 from 10.0.0.1 by ab.c9@ex.org GB82 WEST 1234 5698 7654 32"
     out = table(spark, [(1, text, "a"), (2, "again 4111 1111 1111 1111", "a"), (3, "bad 4111 1111 1111 1112 and 999.1.1.1 and 2021-02-30 and 000-12-3456", "a")])
-    got = {r["doc_id"]: r for r in pseudonyms.pseudonymize(out).collect()}
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymize(out, "demo-key").collect()}
     new = got[1]["text"]
     assert re.sub("[0-9]", "9", re.sub("[A-Za-z]", "a", new.replace("+1", ""))).startswith("aaaa 9999 9999 9999 9999 aaa 999-99-9999 aa 9999-99-99 aaaa  (999) 999-9999")
     assert got[1]["n_pseudonyms"] == 7
@@ -60,15 +60,15 @@ def test_feistel_is_a_bijection(spark):
 
 
 def test_pseudonyms_of_odd_rows(spark, awkward, nothing):
-    out = pseudonyms.pseudonymize(awkward)
+    out = pseudonyms.pseudonymize(awkward, "demo-key")
     assert set(awkward.columns) | {"n_pseudonyms"} == set(out.columns)
     key = lambda df: sorted((str(r["doc_id"]), str(r["text"])) for r in df.collect())
     assert key(out) == key(awkward)
-    assert pseudonyms.pseudonymize(nothing).count() == 0
+    assert pseudonyms.pseudonymize(nothing, "demo-key").count() == 0
 
 
 # ---- line chunks ----
-def brute_lines(rows, divisor=3, min_lines=2, min_chars=80):
+def brute_lines(rows, divisor=3, min_lines=2):
     def chunks(text):
         ls = text.split("\n")
         h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in ls]
@@ -78,7 +78,7 @@ def brute_lines(rows, divisor=3, min_lines=2, min_chars=80):
     seen, keyed = defaultdict(set), {(d if d is not None else -(2**63) + 1, t) for d, t in rows if t is not None}
     for d, t in keyed:
         for s, e, c in chunks(t)[1]:
-            if e - s >= min_lines and len(c) >= min_chars:
+            if e - s >= min_lines:
                 seen[c].add((d, t, s))
     first = {c: min((d, s) for d, _, s in at) for c, at in seen.items()}
     out = []
@@ -90,7 +90,7 @@ def brute_lines(rows, divisor=3, min_lines=2, min_chars=80):
         k = d if d is not None else -(2**63) + 1
         keep = []
         for s, e, c in cs:
-            gone = e - s >= min_lines and len(c) >= min_chars and rows_with(c, rows, chunks) > 1 and first[c] != (k, s)
+            gone = e - s >= min_lines and rows_with(c, rows, chunks) > 1 and first[c] != (k, s)
             keep += [] if gone else ls[s:e]
         out.append((d, "\n".join(keep)))
     return out
@@ -108,8 +108,11 @@ def test_line_chunks_equal_brute_force(spark, awkward, nothing):
     rows += [(100 + i, prose(700 + i, 9) + "\n" + passage + "\n" + prose(800 + i, 9)) for i in range(5)]
     rows += [(x["doc_id"], x["text"]) for x in awkward.collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(x["row"]["doc_id"], x["text"]) for x in line_chunks.deduplicate(spark, df).collect()]
-    assert Counter(got) == Counter(brute_lines(rows))
+    rows += [(200, "a\nb\n\nc"), (201, "a\nb\n\nc")]  # short lines
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for digits in (2, 32):  # with short fingerprints, which many chunks share, and whole ones
+        got = [(x["row"]["doc_id"], x["text"]) for x in line_chunks.deduplicate(spark, df, digits=digits).collect()]
+        assert Counter(got) == Counter(brute_lines(rows))
     # The shared passage is gone but for ends that chunks of neighbours hold.
     assert all(len(t) < len(dict(rows)[d]) for d, t in got if d is not None and 100 < d < 200)
     assert line_chunks.deduplicate(spark, nothing).count() == 0
