@@ -188,8 +188,9 @@ def _email(x: Column, key: str) -> Column:
 KINDS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonymize(docs: DataFrame, key: str = "demo-key", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
-    """docs with its text's personal data replaced, and n_pseudonyms, the number of replaced values.
+def pseudonymize(docs: DataFrame, key: str, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    """docs with its text's personal data replaced, and n_pseudonyms, the number of replaced values. Whoever has the key
+    can turn pseudonyms back; the same key gives the same ones in another run.
 
     Where several kinds would match at one place, the first in the order given takes it. Values that fail their kind's
     check (Luhn's sum, mod 97, a calendar day, octets, areas of SSNs) stay as they are.

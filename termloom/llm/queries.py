@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,20 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+#: The setting that names the pseudonyms' key.
+KEY = "spark.termloom.pseudonym.key"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key that the session names; where it names none, a secret one of this session, which nobody can turn back later."""
+    if spark.conf.get(KEY, None) is None:
+        spark.conf.set(KEY, secrets.token_hex(32))
+    return spark.conf.get(KEY)
+
+
 @query
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_pseudonyms")
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark)).select("doc_id", "text", "n_pseudonyms")
 
 
 @query

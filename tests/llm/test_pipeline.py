@@ -43,8 +43,8 @@ def test_copies_without_lines_of_their_own_go(spark):
     passage = "\n".join(prose(i, 12) for i in range(10))
     df = table(spark, [(1, passage, "a"), (2, passage, "a"), (3, "", "a"), (4, None, "a")])
     kept = stage("line_dedup")(spark, df, "").collect()
-    gone = line_chunks.deduplicate(spark, df).where("row.doc_id = 2").first()
-    assert {r["doc_id"] for r in kept} == ({1, 3, 4} if not gone["text"].strip() else {1, 2, 3, 4})
+    gone = line_chunks.remove_repeats(spark, df).where("row.doc_id = 2").first()
+    assert not gone["text"].strip() and {r["doc_id"] for r in kept} == {1, 3, 4}
 
 
 def test_run_equals_stages_one_by_one(spark):

@@ -1,6 +1,8 @@
 """The pseudonym query against a plain restatement, one value at a time."""
 
 import datetime
+import random
+import re
 from hashlib import sha256
 
 import regex
@@ -8,6 +10,7 @@ from conftest_llm import table
 
 import __spark_entry__
 from termloom.llm import pseudonyms as ps
+from termloom.llm import queries
 
 KEY = "demo-key"
 
@@ -58,8 +61,10 @@ def card(x):
 
 def phone(x):
     d = [int(c) for c in x if c.isdigit()][-10:]
-    least = [2 if i in (0, 3) else 0 for i in range(10)]
-    new = feistel([a - b for a, b in zip(d, least, strict=True)], [10 - b for b in least], "phone")
+    first = {0, 3}  # of area code and exchange: 0 and 1 are a class, 2 to 9 another
+    least = [2 if i in first and v > 1 else 0 for i, v in enumerate(d)]
+    radices = [10 if i not in first else 8 if v > 1 else 2 for i, v in enumerate(d)]
+    new = feistel([a - b for a, b in zip(d, least, strict=True)], radices, "phone")
     return refill(x, "[0-9]", [a + b for a, b in zip(new, least, strict=True)], 10)
 
 
@@ -128,7 +133,9 @@ TEXTS = [
 def test_whole_query(spark):
     sf = "/root/testdata/sf0.01"
     source = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    spark.conf.set(queries.KEY, KEY)
     got = __spark_entry__.queries()["op1_feistel_pseudonyms"](spark, sf).collect()
+    spark.conf.unset(queries.KEY)
     assert len(got) == len(source) and sum(r["n_pseudonyms"] for r in got) > 50
     for r in got:
         assert (r["text"], r["n_pseudonyms"]) == restated(source[r["doc_id"]])
@@ -136,5 +143,58 @@ def test_whole_query(spark):
 
 def test_every_kind(spark, awkward):
     docs = table(spark, [(i, t, "a") for i, t in enumerate(TEXTS)]).union(awkward)
-    for r, s in zip(ps.pseudonymize(docs).collect(), docs.collect(), strict=True):
+    for r, s in zip(ps.pseudonymize(docs, "demo-key").collect(), docs.collect(), strict=True):
         assert (r["text"], r["n_pseudonyms"]) == restated(s["text"])
+
+
+def test_there_is_no_key_by_default(spark):
+    spark.conf.unset(queries.KEY)
+    first = queries.pseudonym_key(spark)
+    assert len(first) == 64 and queries.pseudonym_key(spark) == first
+    spark.conf.unset(queries.KEY)
+    assert queries.pseudonym_key(spark) != first
+    spark.conf.unset(queries.KEY)
+
+
+def planted(r):
+    """A value of each kind, made without the operator's patterns, with its kind."""
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = r.choice("3456") + digits(14)
+        total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(body)), 1) for d in [d])
+        total = sum((2 * d - 9 if d > 4 else 2 * d) if i % 2 else d for i, d in enumerate(map(int, reversed(body)), 1))
+        full = body + str(-total % 10)
+        return r.choice([full, " ".join(full[i : i + 4] for i in range(0, 16, 4)), "-".join(full[i : i + 4] for i in range(0, 16, 4))])
+
+    def iban():
+        body = digits(18)
+        return "DE" + f"{98 - int(body + '131400') % 97:02d}" + body
+
+    yield "email", r.choice(["ann", "bo.lee", "x_y+z"]) + digits(2) + "@" + r.choice(["mail.example.com", "ex.org"])
+    yield "iban", iban()
+    yield "ip", ".".join(str(r.randrange(256)) for _ in range(4))
+    yield "date", f"{r.randrange(1900, 2100)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}"
+    yield "ssn", f"{r.choice([*range(1, 666), *range(667, 900)]):03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}"
+    yield "phone", r.choice(["+1 ({}) {}-{}", "({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(digits(3), digits(3), digits(4))
+    yield "card", card()
+
+
+def test_planted_values_are_found(spark):
+    """Detection against values made by their own rules, in plain words that must stay."""
+    r = random.Random(31)
+    rows, plain = [], []
+    for i in range(60):
+        values = [v for _, v in planted(r)]
+        r.shuffle(values)
+        words = [f"w{chr(97 + j)}" for j in range(len(values) + 1)]
+        rows.append((i, " ".join(x for pair in zip(words, [*values, ""], strict=True) for x in pair).strip(), "a"))
+        plain.append((words, values))
+    for (words, values), got in zip(plain, ps.pseudonymize(table(spark, rows), "k").orderBy("doc_id").collect(), strict=True):
+        rest = got["text"]
+        for a, b, old in zip(words, words[1:], values, strict=False):
+            new = rest[rest.index(a) + len(a) : rest.index(f" {b}")].strip()
+            shape = lambda v: re.sub(r"[0-9]", "9", re.sub(r"[A-Za-z]", "a", re.sub(r"^\d+\.\d+\.\d+\.\d+$", "ip", v)))
+            assert shape(new) == shape(old), (old, new)
+            assert new != old, old
+        assert got["n_pseudonyms"] == len(values)
