@@ -12,10 +12,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .induced import common_prefixes, suffix_order
+from .induced import suffix_order
 from .neardup import BYTE_P, BYTE_Q, U64, mix, powers
 from .support import Cut
 
@@ -197,37 +197,33 @@ def _contexts(length: int):
     return run
 
 
-def matched(parts: list[bytes], groups: np.ndarray, length: int) -> list[np.ndarray]:
+def matched(parts: list[bytes], groups: np.ndarray, length: int, memory: int = 1 << 19) -> list[np.ndarray]:
     """For each part, which of its strings of `length` bytes also start elsewhere in a part of the same group.
 
-    Parts are joined, each ended by its own kind of boundary: 0, no byte of text being so low after the shift by 1."""
+    Parts are joined, each ended by a 0, the bytes of UTF-8 being raised by 1. memory: tuples that queues hold."""
     sizes = np.array([len(p) for p in parts])
-    data = np.frombuffer(b"\x00".join(parts) + b"\x00", np.uint8).astype(np.int64) + 1
+    data = np.frombuffer(b"\x00".join(parts) + b"\x00", np.uint8) + np.uint8(1)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     data[begin + sizes] = 0
-    order = suffix_order(data)
-    owner = np.repeat(np.arange(len(parts)), sizes + 1)
-    inside = np.arange(len(data)) - begin[owner] + length <= sizes[owner]
-    order = order[inside[order]]
-    # Strings stay neighbours when the suffixes that are too short leave.
-    common = common_prefixes(data, order, length) >= length
-    same = common & (np.append(-1, groups[owner[order]][:-1]) == groups[owner[order]])
-    hit = same.copy()
-    hit[:-1] |= same[1:]
+    order, common = suffix_order(data, memory)
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes + 1)[order]
+    inside = order - begin[owner] + length <= sizes[owner]
+    # What lies between two suffixes with a common string has it too: neighbours with one in common are inside both.
+    order, owner, equal = order[inside], owner[inside], common[inside] >= length
+    group = groups[owner]
+    runs = np.cumsum(~equal)
     # Within a run of equal strings, those of one group need not be neighbours.
-    runs = np.cumsum(~common)
-    if len(order):
-        pairs = np.stack([runs, groups[owner[order]]], axis=1)
-        by = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        equal = np.append(False, (pairs[by][1:] == pairs[by][:-1]).all(axis=1))
-        hit[by] |= equal
-        hit[by[:-1]] |= equal[1:]
+    by = np.lexsort((group, runs))
+    same = np.append(False, (runs[by][1:] == runs[by][:-1]) & (group[by][1:] == group[by][:-1]))
+    hit = np.zeros(len(order), bool)
+    hit[by] = same
+    hit[by[:-1][same[1:]]] = True
     flags = np.zeros(len(data), bool)
     flags[order[hit]] = True
     return [flags[b : b + max(0, s - length + 1)] for b, s in zip(begin, sizes, strict=True)]
 
 
-def _sorted_shards(length: int, shard: int):
+def _sorted_shards(length: int, shard: int, memory: int):
     """Batches sorted by anchor: shards of whole groups of about `shard` bytes are put in suffix order."""
 
     def run(batches):
@@ -236,7 +232,7 @@ def _sorted_shards(length: int, shard: int):
         def solve(rows: list[tuple]) -> Iterator:
             parts, anchor = [r[6] for r in rows], np.array([r[2] for r in rows], np.int64)
             out = []
-            for r, hit in zip(rows, matched(parts, anchor, length), strict=True):
+            for r, hit in zip(rows, matched(parts, anchor, length, memory), strict=True):
                 if r[5] > 1:
                     continue  # known to repeat; it is here for others
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
@@ -294,29 +290,34 @@ def _result(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
 
 
-def spans(spark: SparkSession, docs: DataFrame, cut: Cut, length: int = 200, k: int = 64, shard: int = 3 << 19, group: int = 4096) -> tuple[DataFrame, DataFrame]:
+def spans(spark: SparkSession, docs: DataFrame, cut: Cut, length: int = 200, k: int = 64, shard: int = 3 << 19, memory: int = 1 << 19) -> tuple[DataFrame, DataFrame]:
     """(docs as doc_id, key, text), and (doc_id, key, gone), the removed [start, end) byte ranges of each text that has some.
 
-    An anchor of up to `group` different runs, about one shard of bytes, is settled by suffix order in one task. The strings of
-    one that has more are counted by two 64-bit hashes each, in part before the shuffle, so no task gathers its runs."""
+    Anchors are gathered in shards of `shard` bytes or so, put in suffix order with queues of at most `memory` tuples in memory. An anchor
+    whose different runs are more than a shard is no task's: its strings are counted by two 64-bit hashes each, in part before the
+    shuffle. Runs are counted by anchor and print before they are gathered by anchor, so copies weigh nothing there."""
+    group = max(1, shard // (length + (length - k + 1) // 2))  # runs of half the longest
     # The key tells apart texts of one doc_id; where ids are unique it is 0 and costs nothing.
     ids = docs.groupBy(docs["doc_id"]).agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     key = F.lit(0).cast("long") if ids.isEmpty() else F.xxhash64(docs["text"])
     base = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63) + 1)).alias("doc_id"), key.alias("key"), docs["text"].alias("text"))
     runs = cut(base.mapInArrow(_runs(length, k), RUNS))
     known = runs.where("anchor is null").select("doc_id", "key", F.col("place").alias("start"), (F.col("place") + F.col("shape") % 1024 + length - 1).alias("end"))
-    by = Window.partitionBy("anchor")
-    same = Window.partitionBy("anchor", "print")
-    held = runs.where("anchor is not null").withColumn("copies", F.sum("n").over(same)).withColumn("first", F.row_number().over(same.orderBy("doc_id", "key", "place")))
-    held = held.withColumn("lo", F.min("print").over(by)).withColumn("hi", F.max("print").over(by))
-    held = held.withColumn("runs", F.sum(F.when(F.col("first") == 1, 1).otherwise(0)).over(by)).where("copies > 1 or lo <> hi")
-    held = cut(held.select("doc_id", "key", "anchor", "place", "shape", "copies", "first", (F.col("lo") != F.col("hi")).alias("several"), (F.col("runs") > group).alias("many")))
+    mine = runs.where("anchor is not null")
+    # Anchors met once go first; all counts are taken in part before a shuffle.
+    met = mine.groupBy("anchor").agg(F.sum("n").alias("met"), F.min("print").alias("lo"), F.max("print").alias("hi")).where("met > 1")
+    mine = cut(mine.join(met.select("anchor", (F.col("lo") != F.col("hi")).alias("several")), "anchor"))
+    prints = cut(mine.groupBy("anchor", "print").agg(F.sum("n").alias("copies"), F.min(F.struct("doc_id", "key", "place")).alias("at")))
+    many = prints.groupBy("anchor").agg(F.count("*").alias("runs")).where(F.col("runs") > group).select("anchor", F.lit(True).alias("many"))
+    held = mine.join(prints, ["anchor", "print"]).join(many, "anchor", "left").where("copies > 1 or several")
+    first = F.when(F.struct("doc_id", "key", "place") == F.col("at"), 1).otherwise(2).alias("first")
+    held = cut(held.select("doc_id", "key", "anchor", "place", "shape", "copies", first, "several", F.coalesce("many", F.lit(False)).alias("many")))
     whole = held.where("copies > 1").select("doc_id", "key", F.col("place").alias("start"), (F.col("place") + F.col("shape") % 1024 + length - 1).alias("end"))
     wanted = held.where("several and first = 1").groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "place", "shape", F.least(F.col("copies"), F.lit(2)).cast("int").alias("n"), "many")).alias("wanted"))
     contexts = base.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]) if not ids.isEmpty() else base.join(wanted, ["doc_id", "key"])
     contexts = cut(contexts.select("doc_id", "key", "text", "wanted").mapInArrow(_contexts(length), CONTEXTS))
     parts = contexts.where("bytes is not null").select("doc_id", "key", "anchor", "place", "shape", "n", "bytes")
-    found = parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_shards(length, shard), "doc_id long, key long, start long, end long")
+    found = parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_shards(length, shard, memory), "doc_id long, key long, start long, end long")
     # Of anchors with many runs, strings are told apart by their hashes: counted in part before the shuffle.
     strings = contexts.where("bytes is null and anchor is not null").select("doc_id", "key", "anchor", "print", "place", "n")
     repeated = strings.groupBy("anchor", "print").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "print")

@@ -379,9 +379,9 @@ def test_repeats_equal_brute_force(spark, alphabet, monkeypatch):
     rows = [(i, letters(r.randint(0, 50)) + "".join(r.choice(shared) + letters(r.randint(0, 5)) for _ in range(r.randint(0, 4)))) for i in range(60)]
     rows += [(70, letters(1) * 500), (71, None), (72, ""), (73, shared[4]), (73, shared[4]), (None, shared[3] + "é" * 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for piece, group in ((repeats.PIECE, 4096), (64, 4096), (repeats.PIECE, 2)):
+    for piece, shard, memory in ((repeats.PIECE, 3 << 19, 1 << 19), (64, 4000, 20), (repeats.PIECE, 80, 5)):
         monkeypatch.setattr(repeats, "PIECE", piece)
-        got = repeats.remove(spark, df, length=30, k=12, shard=500, group=group).collect()
+        got = repeats.remove(spark, df, length=30, k=12, shard=shard, memory=memory).collect()
         want = Counter((d, *x) for (d, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows], 30), strict=True))
         assert Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got) == want
 
@@ -393,16 +393,40 @@ def test_repeats_of_odd_rows(spark, awkward, nothing):
     assert repeats.remove(spark, nothing).count() == 0
 
 
-@pytest.mark.parametrize("limit", [2, 1 << 20])
-def test_suffix_order(limit):
-    r = np.random.default_rng(limit)
-    for n in (1, 2, 3, 7, 40, 200):
-        for a in (1, 2, 3, 30):
-            t = r.integers(0, a, n)
-            order = induced.suffix_order(t, limit)
-            assert order.tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
-            common = induced.common_prefixes(t, order, 5)
-            for k in range(1, n):
-                x, y = t[order[k - 1] :].tolist(), t[order[k] :].tolist()
-                same = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
-                assert common[k] == min(5, same)
+def plain_suffixes(t):
+    order = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    common = [0]
+    for a, b in zip(order, order[1:], strict=False):
+        x, y = t[a:].tolist(), t[b:].tolist()
+        common.append(next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y))))
+    return order, common
+
+
+@pytest.mark.parametrize("queues", [512, 3])
+@pytest.mark.parametrize("memory", [2, 7, 1 << 19])
+def test_suffix_order(memory, queues, monkeypatch):
+    """Orders and carried common prefixes; with few tuples in memory queues go to files and the recursion to its end."""
+    monkeypatch.setattr(induced, "QUEUES", queues)
+    before = induced.SPILLED
+    r = np.random.default_rng(memory)
+    for n in (1, 2, 3, 7, 40, 150):
+        for a in (1, 2, 3, 30, 250):
+            for kind in range(4):
+                t = r.integers(0, a, n)
+                t = np.tile(t[: max(1, n // 5)], 6)[:n] if kind == 1 else np.repeat(t, 3)[:n] if kind == 2 else t
+                order, common = induced.suffix_order(t.astype(np.uint8) if kind % 2 else t, memory)
+                assert (order.tolist(), common.tolist()) == plain_suffixes(t)
+    assert (induced.SPILLED > before) == (memory < 100)
+
+
+def test_production_shards_go_through_files():
+    """A shard of the registered query's size has more tuples than its queues hold."""
+    r = np.random.default_rng(2)
+    words = [bytes(r.integers(97, 123, r.integers(2, 9)).astype(np.uint8)) for _ in range(3000)]
+    text = b" ".join(words[i] for i in r.integers(0, 3000, 260_000))[: 3 << 19]
+    before = induced.SPILLED
+    order, common = induced.suffix_order(np.frombuffer(text, np.uint8))
+    assert induced.SPILLED > before and (np.bincount(order, minlength=len(text)) == 1).all()
+    for i in r.integers(1, len(text), 500):
+        a, b, n = int(order[i - 1]), int(order[i]), int(common[i])
+        assert text[a : a + n] == text[b : b + n] and text[a + n : a + n + 1] < text[b + n : b + n + 1]
