@@ -392,7 +392,7 @@ def common_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_order(t: np.ndarray, memory: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(t: np.ndarray, memory: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all suffixes of t in order, a suffix that is another's beginning first, and the length of the common
     beginning of each and the one before it. t: bytes, or whole numbers from 0 on, ideally without gaps.
 

@@ -197,7 +197,7 @@ def _contexts(length: int):
     return run
 
 
-def matched(parts: list[bytes], groups: np.ndarray, length: int, memory: int = 1 << 19) -> list[np.ndarray]:
+def matched(parts: list[bytes], groups: np.ndarray, length: int, memory: int = 1 << 18) -> list[np.ndarray]:
     """For each part, which of its strings of `length` bytes also start elsewhere in a part of the same group.
 
     Parts are joined, each ended by a 0, the bytes of UTF-8 being raised by 1. memory: tuples that queues hold."""
@@ -290,7 +290,7 @@ def _result(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
 
 
-def spans(spark: SparkSession, docs: DataFrame, cut: Cut, length: int = 200, k: int = 64, shard: int = 3 << 19, memory: int = 1 << 19) -> tuple[DataFrame, DataFrame]:
+def spans(spark: SparkSession, docs: DataFrame, cut: Cut, length: int = 200, k: int = 64, shard: int = 1 << 20, memory: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
     """(docs as doc_id, key, text), and (doc_id, key, gone), the removed [start, end) byte ranges of each text that has some.
 
     Anchors are gathered in shards of `shard` bytes or so, put in suffix order with queues of at most `memory` tuples in memory. An anchor

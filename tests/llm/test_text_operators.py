@@ -379,7 +379,7 @@ def test_repeats_equal_brute_force(spark, alphabet, monkeypatch):
     rows = [(i, letters(r.randint(0, 50)) + "".join(r.choice(shared) + letters(r.randint(0, 5)) for _ in range(r.randint(0, 4)))) for i in range(60)]
     rows += [(70, letters(1) * 500), (71, None), (72, ""), (73, shared[4]), (73, shared[4]), (None, shared[3] + "é" * 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for piece, shard, memory in ((repeats.PIECE, 3 << 19, 1 << 19), (64, 4000, 20), (repeats.PIECE, 80, 5)):
+    for piece, shard, memory in ((repeats.PIECE, 1 << 20, 1 << 18), (64, 4000, 20), (repeats.PIECE, 80, 5)):
         monkeypatch.setattr(repeats, "PIECE", piece)
         got = repeats.remove(spark, df, length=30, k=12, shard=shard, memory=memory).collect()
         want = Counter((d, *x) for (d, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows], 30), strict=True))
@@ -423,7 +423,7 @@ def test_production_shards_go_through_files():
     """A shard of the registered query's size has more tuples than its queues hold."""
     r = np.random.default_rng(2)
     words = [bytes(r.integers(97, 123, r.integers(2, 9)).astype(np.uint8)) for _ in range(3000)]
-    text = b" ".join(words[i] for i in r.integers(0, 3000, 260_000))[: 3 << 19]
+    text = b" ".join(words[i] for i in r.integers(0, 3000, 260_000))[: 1 << 20]
     before = induced.SPILLED
     order, common = induced.suffix_order(np.frombuffer(text, np.uint8))
     assert induced.SPILLED > before and (np.bincount(order, minlength=len(text)) == 1).all()
