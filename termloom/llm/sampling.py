@@ -30,8 +30,9 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, chars:
     picked = labels.select(labels["doc_id"].alias("id"), labels[column].alias("label")).where("id is not null and label is not null")
     picked = picked.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(rows)
-    found = docs.select(docs["doc_id"], spread(docs["text"], chars).alias("text")).where("text is not null")
-    found = found.join(F.broadcast(picked), found["doc_id"] == F.col("id")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = docs.select(docs["doc_id"], docs["text"]).where("text is not null")
+    found = found.join(F.broadcast(picked), found["doc_id"] == F.col("id")).select("doc_id", "label", spread(F.col("text"), chars).alias("text"))
+    found = found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return found.select("doc_id", "text", "label").toPandas().sort_values("doc_id").reset_index(drop=True)
 
 
