@@ -217,8 +217,17 @@ class Model:
         # Copies of one text would confirm each other's rare words.
         kept = originals(texts)
         texts, labels = [texts[i] for i in kept], np.asarray(labels)[kept]
+        # Documents are counted by terms' hashes first: terms of too few to be mined get no number.
+        met = np.zeros(1 << 22, np.int32)
+        cells = lambda ws: np.fromiter(map(hash, ws), np.int64, len(ws)) & (len(met) - 1)
+        for t in texts:
+            met[np.unique(cells(terms(t)))] += 1
         number: dict[str, int] = {}
-        docs = [np.array([number.setdefault(w, len(number)) for w in terms(t)], np.int32) for t in texts]
+        docs = []
+        for t in texts:
+            ws = list(terms(t))
+            kept = [w for w, n in zip(ws, met[cells(ws)].tolist(), strict=True) if n >= support or w in EVERY]
+            docs.append(np.array([number.setdefault(w, len(number)) for w in kept], np.int32))
         names = list(number)
         lexicon = lexicons(docs, names, labels, size, support)
         used = np.zeros(len(names), bool)
