@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """A folder of this application in spark.checkpoint.dir; a temporary one only on a local master that has none (tests)."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app not in _DIRS:
         base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = base or f"file://{tempfile.mkdtemp(prefix='termloom-')}"
         _DIRS[app] = f"{base.rstrip('/')}/termloom-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_forget, spark, _DIRS[app])
