@@ -54,7 +54,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: SQL expresses neither the classifier nor the signatures; tests/llm hold each stage against a plain restatement.
+#: SQL expresses neither the classifier nor the signatures; tests/llm hold the stages' operators against brute force and run()
+#: against its stages one by one.
 ORACLE_SQL = None
 
 
