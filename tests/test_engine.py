@@ -4,6 +4,7 @@ import random
 import tarfile
 from itertools import groupby
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from termloom.operators import evaluate, lookup, merge, metrics
 from termloom.operators.order import ordinals
 from termloom.operators.search import pruned_search, search, search_one
 from termloom.operators.timing import Stages
+from termloom.plans import registry
 from termloom.sources import collections
 from termloom.sources.pairs import read_pairs
 from termloom.streaming.incremental import follow
@@ -345,3 +347,12 @@ def test_stages_are_timed(spark, toy):
     stages = Stages()
     search_one(spark, toy, "a b", QueryConfig(), stages).collect()
     assert list(stages.seconds) == ["analyse", "lexicon", "plan"] and "lexicon" in str(stages)
+
+
+def test_rejected_lines_show_their_number_alone(spark, tmp_path):
+    texts = ["a b", "", " \n\t", "c", None, "\x0b d \r"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(registry.ORACLES["rejected_lines"]).fetchall())
+    assert sorted(map(tuple, registry.QUERIES["rejected_lines"](spark, str(tmp_path)).collect())) == want == [(1, "1"), (2, "2")]
