@@ -356,3 +356,54 @@ def test_rejected_lines_show_their_number_alone(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(con.execute(registry.ORACLES["rejected_lines"]).fetchall())
     assert sorted(map(tuple, registry.QUERIES["rejected_lines"](spark, str(tmp_path)).collect())) == want == [(1, "1"), (2, "2")]
+
+
+def test_batches_of_queries_in_slices_and_ranges(spark, tmp_path, monkeypatch):
+    from termloom.operators import search as module
+
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(d, d, " ".join(f"w{min(rng.randrange(9), rng.randrange(40))}" for _ in range(rng.randrange(1, 30)))) for d in range(0, 90_000, 300)], "docid long, docno long, text string")
+    built = ix.build(spark, rows, IndexConfig("r"), str(tmp_path / "r"))
+    texts = [" ".join(f"w{rng.randrange(45)}" for _ in range(rng.randrange(1, 5))) for _ in range(12)]
+    monkeypatch.setattr(module, "BATCH", 9)
+    for method in ("disjunctive", "conjunctive"):
+        config = QueryConfig(method, "TFIDF", 7)
+        got = search(built, spark.createDataFrame(list(enumerate(texts)), "qid long, query string"), config).collect()
+        for i, text in enumerate(texts):
+            want = [(r["rank"], r["docid"], r["score"]) for r in search_one(spark, built, text, config).orderBy("rank").collect()]
+            assert sorted((r["rank"], r["docid"], r["score"]) for r in got if r["qid"] == i) == want
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counting_shuffles_nothing(spark):
+    rows = spark.createDataFrame([(i, i, "The hopping cats, the cat") for i in range(9)], "docid long, docno long, text string")
+    for config in (IndexConfig(), IndexConfig(stem=True, keep_stop=False)):
+        assert "Exchange" not in _plan(ix.weighed_counts(rows, config))
+    assert "Exchange" not in _plan(collections.each_docno(rows))
+    assert {(r["tok"], r["tf"]) for r in ix.term_counts(rows, IndexConfig(stem=True)).collect()} == {("the", 2), ("hop", 1), ("cat", 2)}
+
+
+def test_rows_of_one_docid_are_one_document(spark, tmp_path):
+    rows = spark.createDataFrame([(5, 5, "a b"), (5, 5, "b \u00c9b"), (6, 6, "?")], "docid long, docno long, text string")
+    built = ix.build(spark, rows, IndexConfig("d"), str(tmp_path))
+    assert sorted(map(tuple, built.docs.collect())) == [(5, 5, 4), (6, 6, 1)]
+    assert sorted(map(tuple, built.postings.collect())) == [("", 6, 1, 1), ("a", 5, 1, 4), ("b", 5, 3, 4)]
+
+
+def test_lists_over_the_edges_of_arrow_batches(spark):
+    ids = {"a": range(0, 75_000, 3), "b": range(65_530, 65_545), "c": range(25_000), "d": [70_000]}
+    df = spark.createDataFrame([(t, d, 1 + d % 7) for t, of in ids.items() for d in of], "tok string, docid long, tf int")
+    assert "collect_list" not in _plan(ix.posting_blocks(df))
+    want = {(t, b): [d for d in of if d >> 16 == b] for t, of in ids.items() for b in {d >> 16 for d in of}}
+    assert {(r["tok"], r["block"]): r["docids"] for r in ix.posting_blocks(df).collect()} == want
+    coded = ix.posting_blocks(df, "gamma").withColumn("back", decode_blocks("gamma")(F.col("code"), F.shiftleft("block", 16))).collect()
+    assert {(r["tok"], r["block"]): r["back"]["docids"] for r in coded} == want
+    assert all(r["n"] == len(r["back"]["freqs"]) and r["back"]["freqs"] == [1 + d % 7 for d in r["back"]["docids"]] for r in coded)
+
+
+def test_batches_meet_by_documents_not_by_terms(spark, toy):
+    plan = _plan(search(toy, spark.createDataFrame([(5, "a b")], "qid long, query string"), QueryConfig()))
+    assert "hashpartitioning(tok" not in plan and "SortMergeJoin" not in plan
