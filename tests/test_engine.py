@@ -358,6 +358,20 @@ def test_rejected_lines_show_their_number_alone(spark, tmp_path):
     assert sorted(map(tuple, registry.QUERIES["rejected_lines"](spark, str(tmp_path)).collect())) == want == [(1, "1"), (2, "2")]
 
 
+def test_ties_go_by_docno_after_an_append(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path))
+    rows = lambda *nos: spark.createDataFrame([(n, n, "same words" if n < 90 else "other") for n in nos], "docid long, docno long, text string")
+    catalog.build(rows(3, 5, 9, 90), IndexConfig("x"))
+    catalog.append("x", rows(1, 4, 8, 91))
+    built = catalog.load("x")[0]
+    for method in ("disjunctive", "conjunctive"):
+        config = QueryConfig(method, k=4)
+        assert [r["docno"] for r in search_one(spark, built, "words", config).orderBy("rank").collect()] == [1, 3, 4, 5]
+        asked = spark.createDataFrame([(7, "words same")], "qid long, query string")
+        assert [r["docno"] for r in search(built, asked, config).orderBy("rank").collect()] == [1, 3, 4, 5]
+    assert [r["docno"] for r in pruned_search(spark, built, "same words", QueryConfig(k=4), worth=0).orderBy("rank").collect()] == [1, 3, 4, 5]
+
+
 def test_batches_of_queries_in_slices_and_ranges(spark, tmp_path, monkeypatch):
     from termloom.operators import search as module
 
