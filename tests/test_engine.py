@@ -421,3 +421,63 @@ def test_lists_over_the_edges_of_arrow_batches(spark):
 def test_batches_meet_by_documents_not_by_terms(spark, toy):
     plan = _plan(search(toy, spark.createDataFrame([(5, "a b")], "qid long, query string"), QueryConfig()))
     assert "hashpartitioning(tok" not in plan and "SortMergeJoin" not in plan
+
+
+def test_a_build_reads_texts_twice(spark, tmp_path):
+    """For lengths and for postings, not for ranges of terms besides."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = spark.createDataFrame([(i, i, f"a b{i} c{i % 7}") for i in range(200)], "docid long, docno long, text string").withColumn("text", seen("text"))
+    built = ix.build(spark, rows, IndexConfig("once"), str(tmp_path))
+    assert read.value == 400
+    assert built.postings.count() == 600 and built.lexicon.count() == 208
+
+
+def test_parts_are_ranges_of_sorted_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ix, "PART", 100)
+    monkeypatch.setattr(ix, "SAMPLED", 40)
+    rows = spark.createDataFrame([(i, i, f"the the b{i % 9} é{i}") for i in range(300)], "docid long, docno long, text string")
+    postings = ix.build(spark, rows, IndexConfig("parts"), str(tmp_path)).postings
+    got = postings.select("tok", "docid", "tf", "len", F.input_file_name().alias("file")).collect()
+    files = {}
+    for r in got:
+        files.setdefault(r["file"], []).append((r["tok"], r["docid"]))
+    assert len(files) > 4 and all(x == sorted(x) for x in files.values())
+    ranges = sorted((x[0], x[-1]) for x in files.values())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    want = {(t, i, n, 4) for i in range(300) for t, n in (("the", 2), (f"b{i % 9}", 1), (str(i), 1))}
+    assert {tuple(r)[:4] for r in got} == want and len(got) == len(want)
+
+
+def test_stems_of_frequent_terms_are_remembered(monkeypatch):
+    import pyarrow as pa
+
+    from termloom.functions import terms
+
+    asked = []
+    monkeypatch.setattr(terms, "STEMS", 5)
+    monkeypatch.setattr(terms, "stem", lambda w: asked.append(w) or w)
+    analyse = terms.Analyser(IndexConfig(stem=True))
+    for i in range(0, 40, 2):
+        tok, text, tf, n = analyse.counts(pa.array([f"hop w{i}", None, "hop hop", f"w{i + 1}"]))
+        assert tok.to_pylist() == ["hop", "hop", f"w{i}", f"w{i + 1}"] and text.tolist() == [0, 2, 0, 3]
+        assert tf.tolist() == [1, 2, 1, 1] and n.tolist() == [2, 2, 2, 1]
+    assert asked.count("hop") == 1 and len(asked) == 41
+
+
+def test_slices_of_texts(monkeypatch):
+    import pyarrow as pa
+
+    from termloom.functions import terms
+
+    monkeypatch.setattr(terms, "BYTES", 6)
+    texts = pa.array(["skip", "ab", None, "cd", "", "a text longer than all", "é", "x"])[1:]
+    assert list(terms.slices(texts)) == [(0, 4), (4, 5), (5, 7)]
+    words, owner = terms.cut(texts)
+    assert words.to_pylist() == ["ab", "cd", *"a text longer than all".split(), "x", "", ""] and owner.tolist() == [0, 2, 4, 4, 4, 4, 4, 6, 3, 5]
+    assert terms.Analyser(IndexConfig()).lengths(texts).tolist() == [1, 0, 1, 1, 5, 1, 1]
