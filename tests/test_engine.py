@@ -481,3 +481,24 @@ def test_slices_of_texts(monkeypatch):
     words, owner = terms.cut(texts)
     assert words.to_pylist() == ["ab", "cd", *"a text longer than all".split(), "x", "", ""] and owner.tolist() == [0, 2, 4, 4, 4, 4, 4, 6, 3, 5]
     assert terms.Analyser(IndexConfig()).lengths(texts).tolist() == [1, 0, 1, 1, 5, 1, 1]
+
+
+def test_terms_are_shipped_as_lists(spark):
+    """A row a term of a slice of texts, not a row a posting, cut where parts end; docids that descend within and over slices end in order."""
+    from termloom.functions import terms
+
+    rows = spark.createDataFrame([(300 - i, f"the the b{i % 3}") for i in range(300)], "docid long, text string").coalesce(1)
+    lists = terms.term_lists(rows, IndexConfig(), [("b1", 0), ("the", 100)]).collect()
+    assert [(r["part"], r["tok"], r["first"], len(r["docids"])) for r in lists] == [(0, "b0", 3, 100), (1, "b1", 2, 100), (1, "b2", 1, 100), (1, "the", 1, 99), (2, "the", 100, 201)]
+    assert lists[-1]["docids"] == list(range(100, 301)) and set(lists[-1]["weighed"]) == {2 << 32 | 3}
+    docs = ix.document_table(rows.withColumn("docno", F.col("docid")), IndexConfig())
+    counts = ix.sorted_terms(rows.repartition(3), docs, IndexConfig(parts=1))
+    assert "Generate" in _plan(counts)
+    got = [tuple(r) for r in counts.collect()]
+    assert got == sorted((t, 300 - i, n, 3) for i in range(300) for t, n in (("the", 2), (f"b{i % 3}", 1)))
+    assert term_of_none(spark, terms) == []
+
+
+def term_of_none(spark, terms):
+    none = spark.createDataFrame([(1, "the"), (2, None)], "docid long, text string")
+    return terms.term_lists(none, IndexConfig(keep_stop=False), [("a", 1)]).collect()
