@@ -502,3 +502,24 @@ def test_terms_are_shipped_as_lists(spark):
 def term_of_none(spark, terms):
     none = spark.createDataFrame([(1, "the"), (2, None)], "docid long, text string")
     return terms.term_lists(none, IndexConfig(keep_stop=False), [("a", 1)]).collect()
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_an_append_matches_numbers_not_texts(spark, tmp_path, monkeypatch, few):
+    """Which documents are new is found over lengths: texts are shuffled to their numbers at most, by large batches, and never sorted."""
+    from termloom import catalog as module
+
+    plans = []
+    monkeypatch.setattr(module, "FEW", few)
+    real = ix.sorted_terms
+    monkeypatch.setattr(ix, "sorted_terms", lambda rows, *more: plans.append(_plan(rows)) or real(rows, *more))
+    rows = lambda a, b: spark.createDataFrame([(i, i, f"a b{i % 4}") for i in range(a, b)], "docid long, docno long, text string")
+    catalog = module.Catalog(spark, str(tmp_path))
+    catalog.build(rows(0, 10), IndexConfig("x"))
+    plans.clear()
+    assert catalog.append("x", rows(5, 30)) == 20 and catalog.append("x", rows(5, 30)) == 0
+    (plan,) = plans
+    assert "LeftAnti" not in plan and "SortMergeJoin" not in plan and ("BroadcastHashJoin" if few else "ShuffledHashJoin") in plan
+    built, _ = catalog.load("x")
+    assert sorted(map(tuple, built.docs.collect())) == [(i, i, 2) for i in range(30)]
+    assert sorted(tuple(r)[:2] for r in built.postings.collect()) == sorted((t, i) for i in range(30) for t in ("a", f"b{i % 4}"))
